@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scopegrain.llm import vectors
+from scopegrain.llm import bpe, leakage, neardup, split, together, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": vectors.p1_found}
+    return {
+        "p1_found": vectors.p1_found,
+        "p2_found": together.p2_found,
+        "p3_found": neardup.p3_found,
+        "p3_classes": neardup.p3_classes,
+        "p5_found": split.p5_found,
+        "p6_ids": bpe.p6_ids,
+        "p7_found": leakage.p7_found,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,7 +3,7 @@
 A vector is written as a sum of full-dimensional codewords. The first two codebooks name the cell that holds the vector;
 the others refine it. Beam search picks the codewords. A query looks up the inner products with all codewords once and
 scores every vector of the cells it probes by table look-ups, divided by a stored norm. What survives the score's error
-margin is scored again from the vectors themselves, in double precision.
+margin is scored again: on the spot from one byte an element, then from the vectors themselves, in double precision.
 
 Equal vectors are one row of the index, so that a group of copies of any size costs no more than one vector. A cell beyond
 ``BLOCK`` vectors is cut into blocks. Nothing that grows with the data is collected or broadcast: codebooks are fitted on at
@@ -137,22 +137,27 @@ def _index_rows(books: Codebooks, least: float, blocks: dict[int, int]) -> Calla
                 key = part.column("vkey").to_numpy()
                 rows = unit(from_binary(part.column("vec"), np.float32)[0].reshape(len(key), books.width)).astype(np.float32)
                 cell, codes, inner, square = encode(rows, books)
-                held = np.concatenate([codes, np.stack([inner, error_floor(inner, square, books.width, least)], axis=1).astype(np.float32).view(np.uint8)], axis=1)
+                scale = np.abs(rows).max(axis=1, keepdims=True) / 127
+                small = np.concatenate([np.rint(rows / scale).astype(np.int8).view(np.uint8), scale.astype(np.float32).view(np.uint8)], axis=1)
+                held = np.concatenate([codes, np.stack([inner, error_floor(inner, square, books.width, least)], axis=1).astype(np.float32).view(np.uint8), small], axis=1)
                 own = (mix64(key.view(np.uint64)) % cut[cell].astype(np.uint64)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(own), pa.array(np.zeros(len(key), np.int8)), pa.array(key), fixed_binary(held)], names)
                 near, _, _ = probe(rows, books, PROBES)
-                scale = np.abs(rows).max(axis=1, keepdims=True) / 127
-                asked = np.concatenate([np.rint(rows / scale).astype(np.int8).view(np.uint8), scale.astype(np.float32).view(np.uint8)], axis=1)
                 who, where = np.repeat(np.arange(len(key)), near.shape[1]), near.ravel()
                 times = cut[where]
                 who, where = np.repeat(who, times), np.repeat(where, times)
                 nth = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
-                yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(nth.astype(np.int32)), pa.array(np.ones(len(who), np.int8)), pa.array(key[who]), fixed_binary(asked[who])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(nth.astype(np.int32)), pa.array(np.ones(len(who), np.int8)), pa.array(key[who]), fixed_binary(small[who])], names)
 
     return run
 
 
-def _scored(books: Codebooks, depth: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def short(raw: np.ndarray, width: int) -> np.ndarray:
+    """Vectors from one signed byte an element and a scale."""
+    return np.ascontiguousarray(raw[:, :width]).view(np.int8) * np.ascontiguousarray(raw[:, width : width + 4]).view(np.float32)
+
+
+def _scored(books: Codebooks, least: float, depth: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refine = np.concatenate(books.levels[2:]).T.copy()
         sizes = np.cumsum([0, *map(len, books.levels[2:])])
@@ -180,22 +185,24 @@ def _scored(books: Codebooks, depth: int | None) -> Callable[[Iterator[pa.Record
                     held = [(np.concatenate([k for k, _ in held]), np.concatenate([r for _, r in held]))]
                 base, packed = held[0]
                 codes = packed[:, :LEVELS]
-                norms = np.ascontiguousarray(packed[:, LEVELS:]).view(np.float32)
-                least = (norms[:, 0] * norms[:, 1])[:, None]
+                norms = np.ascontiguousarray(packed[:, LEVELS : LEVELS + 8]).view(np.float32)
+                bound = (norms[:, 0] * norms[:, 1])[:, None]
+                rough = short(packed[:, LEVELS + 8 :], books.width)
                 centre = books.levels[0][here[0] // second] + books.levels[1][here[0] % second]
                 for at in range(0, end - begin, 512):
-                    part = raw[at : at + 512]
-                    asked = np.ascontiguousarray(part[:, : books.width]).view(np.int8) * np.ascontiguousarray(part[:, books.width :]).view(np.float32)
+                    asked = short(raw[at : at + 512], books.width)
                     table = np.ascontiguousarray((asked @ refine).T)
                     score = np.repeat((asked @ centre)[None, :], len(base), axis=0)
                     for level in range(LEVELS):
                         score += table[sizes[level] : sizes[level + 1]][codes[:, level]]
-                    near = score >= least
-                    if depth is not None and len(base) > depth:
-                        for column in np.flatnonzero(near.sum(axis=0) > depth):
-                            rank = score[:, column] / norms[:, 0]
-                            near[:, column] &= rank >= np.partition(rank, -depth)[-depth]
-                    x, q = np.nonzero(near)
+                    x, q = np.nonzero(score >= bound)
+                    closer = np.concatenate([np.einsum("ij,ij->i", rough[x[i : i + 65_536]], asked[q[i : i + 65_536]]) for i in range(0, max(1, len(x)), 65_536)])
+                    x, q, closer = (c[closer >= least - 0.01] for c in (x, q, closer))
+                    if depth is not None and len(x) > depth:
+                        order = np.lexsort((-closer, q))
+                        x, q = x[order], q[order]
+                        top = np.arange(len(q)) - np.searchsorted(q, q, side="left") < depth
+                        x, q = x[top], q[top]
                     a, b = base[x], key[begin + at + q]
                     other = a != b
                     if other.any():
@@ -280,7 +287,7 @@ def near_pairs(groups: DataFrame, least: float, k: int | None = None, width: int
     blocks = {r.cell: -(-r.n // (BLOCK // 2)) for r in sizes}
     rows = groups.select("vkey", "vec").mapInArrow(_index_rows(books, least, blocks), "cell int, block int, side tinyint, vkey bigint, payload binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(books.cells, total // 4_096))
-    pairs = rows.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "side").mapInArrow(_scored(books, k and k * DEPTH), "a bigint, b bigint").distinct()
+    pairs = rows.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "side").mapInArrow(_scored(books, least, k and k * DEPTH), "a bigint, b bigint").repartition("a").distinct()
     one = groups.select(F.col("vkey").alias("a"), F.col("vec").alias("va"))
     two = groups.select(F.col("vkey").alias("b"), F.col("vec").alias("vb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInArrow(_exact(width, least), "a bigint, b bigint, score double")
