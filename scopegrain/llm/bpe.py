@@ -124,12 +124,12 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, path: str = f"{FOLD
     Null and empty texts give an empty list. Rows are encoded where they lie, without a shuffle; a repeated row keeps its own
     row and a null id stays null. Other columns are ignored. Memory depends on a batch's distinct words only.
     """
-    merges = df.sparkSession.sparkContext.broadcast(load_merges(path))
+    merges = df.sparkSession.sparkContext.broadcast(vars(load_merges(path)))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        table = merges.value
+        table = Merges(**merges.value)
         number: dict[str, int] = {}
         flat, starts, counts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:

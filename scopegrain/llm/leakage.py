@@ -73,7 +73,7 @@ def search(s: Searcher, words: np.ndarray, first: np.ndarray, last: np.ndarray)
     hits: list[tuple[np.ndarray, np.ndarray]] = []
     while True:
         live = at + s.run <= last
-        at, who = at[live], who[live]
+        at, who, last = at[live], who[live], last[live]
         if not len(at):
             break
         shift = step[at + s.run - WIDTH]
@@ -113,10 +113,10 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
     for block in range(passes if size else 0):
         rows = asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == block).orderBy("item_id").collect()
         words, owner = token_hashes([r.text for r in rows], underscore=False)
-        tables = spark.sparkContext.broadcast(build(words, owner, np.array([r.item_id for r in rows], np.int64), run))
+        tables = spark.sparkContext.broadcast(vars(build(words, owner, np.array([r.item_id for r in rows], np.int64), run)))
 
         def scan(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
-            s = tables.value
+            s = Searcher(**tables.value)
             for batch in batches:
                 texts, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy()
                 for begin, end in slices(texts):
