@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows that a side may have to be broadcast; beyond, the operators shuffle instead.
 BROADCAST_ROWS = 65_536
 
+#: Spark's setting by which an execution's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that setting is absent."""
@@ -26,11 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there and survives lost executors.
 
-    The files go when the JVM ends.
+    The shuffle files of the write go at its end, the table's files when the JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    keep = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if keep is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, keep)
     jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(hadoop).deleteOnExit(where)
