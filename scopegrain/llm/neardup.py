@@ -282,10 +282,11 @@ def near_duplicates(chunks: DataFrame, least: float = 0.6, size: int = 3, least_
     unusable vector by its content only; an empty table gives no pairs. Other columns are ignored.
     """
     members, pairs = near_duplicate_texts(chunks, "id", "content", least, size, least_tokens)
-    by_text = expand(pairs, members.withColumnRenamed("skey", "key"))
+    by_text = expand(materialise(pairs.select("a", "b"), "text-pairs"), members.withColumnRenamed("skey", "key"))
     vectors = usable_vectors(chunks, "id", "vector")
     groups = materialise(vector_groups(vectors, 1), "vectors")
-    by_vector = expand(near_pairs(groups, least_cosine), vectors.select("id", F.col("vkey").alias("key")).distinct())
+    close = materialise(near_pairs(groups, least_cosine).select("a", "b"), "vector-pairs")
+    by_vector = expand(close, vectors.select("id", F.col("vkey").alias("key")).distinct())
     return by_text.unionByName(by_vector).distinct().select(F.col("one").alias("chunk_a"), F.col("two").alias("chunk_b"))
 
 
