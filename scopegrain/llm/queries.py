@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scopegrain.llm import bpe, leakage, neardup, split, together, vectors
+from scopegrain.llm import bpe, handwritten, leakage, neardup, quality, split, together, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": together.p2_found,
         "p3_found": neardup.p3_found,
         "p3_classes": neardup.p3_classes,
+        "p4_found": handwritten.p4_found,
         "p5_found": split.p5_found,
         "p6_ids": bpe.p6_ids,
         "p7_found": leakage.p7_found,
+        "p8_found": quality.p8_found,
+        "p8_statistics": quality.p8_statistics,
     }
 
 
