@@ -5,6 +5,8 @@ Null input gives null unless a function says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; inside lambdas nothing else keeps it from being computed at every mention."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def is_stop(word: Column) -> Column:
     return word.isin(*STOP_WORDS)
 
@@ -94,21 +101,23 @@ def content_hash(content: Column | str) -> Column:
 
 def code_signature(content: Column | str) -> Column:
     """The first declaration, trimmed and cut to 100 characters; null if there is none."""
-    found = F.regexp_extract(col(content), SIGNATURE, 0)
-    return F.when(found != "", F.substring(trim(found), 1, 100))
+    return let(F.regexp_extract(col(content), SIGNATURE, 0), lambda x: F.when(x != "", F.substring(trim(x), 1, 100)))
 
 
 def key_terms(content: Column | str, n: int = 5) -> Column:
     """The ``n`` most frequent terms, equally frequent ones by first place."""
-    own = terms(content)
-    ranked = F.array_sort(F.transform(F.array_distinct(own), lambda t, i: F.struct((-F.size(F.filter(own, lambda x: x == t))).alias("n"), i.alias("i"), t.alias("t"))))
-    return F.transform(F.slice(ranked, 1, n), lambda s: s["t"])
+
+    def ranked(own: Column) -> Column:
+        each = F.transform(F.array_distinct(own), lambda t, i: F.struct((-F.size(F.filter(own, lambda x: x == t))).alias("n"), i.alias("i"), t.alias("t")))
+        return F.transform(F.slice(F.array_sort(each), 1, n), lambda s: s["t"])
+
+    return let(terms(content), ranked)
 
 
 def first_line(content: Column | str) -> Column:
     """The first line with more than ten characters, cut to 80; null if there is none."""
-    line = trim(F.element_at(F.filter(F.split(col(content), "\n", -1), lambda x: F.length(trim(x)) > 10), 1))
-    return F.when(F.length(line) > 80, F.concat(F.substring(line, 1, 80), F.lit("..."))).otherwise(line)
+    line = trim(F.try_element_at(F.filter(F.split(col(content), "\n", -1), lambda x: F.length(trim(x)) > 10), F.lit(1)))
+    return let(line, lambda x: F.when(F.length(x) > 80, F.concat(F.substring(x, 1, 80), F.lit("..."))).otherwise(x))
 
 
 def structural_digest(content: Column | str, heading: Column, tags: Column, residual: Column) -> Column:
@@ -116,18 +125,20 @@ def structural_digest(content: Column | str, heading: Column, tags: Column, resi
 
     ``tags`` is a list or null, ``residual`` a boolean or null.
     """
-    signature = code_signature(content)
     tagged = F.coalesce(F.size(tags) > 0, F.lit(False))
-    fingerprint = key_terms(content)
-    parts = F.concat_ws(
-        "\n    ",
-        F.when(heading != "", F.concat(F.lit("📂 "), heading)),
-        F.concat(F.lit("⚡ "), signature),
-        F.when(tagged, F.concat(F.lit("🏷️ "), F.array_join(F.slice(tags, 1, 5), ", "))),
-        F.when(residual, F.lit("🔍 弱信号发现")),
-        F.when(signature.isNull() & ~tagged & (F.size(fingerprint) > 0), F.concat(F.lit("📝 "), F.array_join(fingerprint, " · "))),
-    )
-    return F.when(parts != "", parts).otherwise(F.coalesce(first_line(content), F.lit("")))
+
+    def parts(signature: Column) -> Column:
+        fingerprint = F.when(signature.isNull() & ~tagged, F.array_join(key_terms(content), " · "))
+        return F.concat_ws(
+            "\n    ",
+            F.when(heading != "", F.concat(F.lit("📂 "), heading)),
+            F.concat(F.lit("⚡ "), signature),
+            F.when(tagged, F.concat(F.lit("🏷️ "), F.array_join(F.slice(tags, 1, 5), ", "))),
+            F.when(residual, F.lit("🔍 弱信号发现")),
+            let(fingerprint, lambda x: F.when(x != "", F.concat(F.lit("📝 "), x))),
+        )
+
+    return let(let(code_signature(content), parts), lambda p: F.when(p != "", p).otherwise(F.coalesce(first_line(content), F.lit(""))))
 
 
 def key_lines(content: Column | str) -> Column:
@@ -167,7 +178,7 @@ def wanted_path(path: Column | str, extensions: list[str], ignore: list[str]) ->
 def format_size(size: Column | str) -> Column:
     """Bytes as B, KB or MB with one decimal."""
     n = col(size)
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).when(n < 1048576, F.concat(F.format_string("%.1f", n / 1024), F.lit("KB"))).otherwise(F.concat(F.format_string("%.1f", n / 1048576), F.lit("MB")))
+    return F.when(n.isNull(), None).when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).when(n < 1048576, F.concat(F.format_string("%.1f", n / 1024), F.lit("KB"))).otherwise(F.concat(F.format_string("%.1f", n / 1048576), F.lit("MB")))
 
 
 def safe_relative(path: Column | str) -> Column:

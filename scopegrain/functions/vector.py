@@ -12,18 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scopegrain.functions.text import col
+from scopegrain.functions.text import col, let
 
 
 def doubles(v: Column | str) -> Column:
     return col(v).cast("array<double>")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once; inside lambdas nothing else keeps it from being computed at every mention."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def norm_of(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 

@@ -75,6 +75,9 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, least: float |
                     rows = values[offsets[at][:, None] + np.arange(width)]
                     fine = np.isfinite(rows).all(axis=1) & (rows != 0).any(axis=1)
                     at, rows = at[fine], rows[fine]
+                    # A repeated row must not take two of a batch's k places.
+                    once = np.unique(np.concatenate([rows.view(np.int64), ids[at][:, None].astype(np.int64)], axis=1), axis=0, return_index=True)[1]
+                    at, rows = at[once], rows[once]
                     if not len(at):
                         continue
                     score = np.round(np.maximum(0.0, unit @ _unit(rows).T), 6)

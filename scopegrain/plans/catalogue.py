@@ -221,8 +221,8 @@ def tag_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS at, count(*) OVER () AS n FROM embeddings)
-    SELECT vec_id AS id FROM o WHERE at % greatest(1, n // 30) = 0 ORDER BY vec_id LIMIT 30"""
+    """WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings)
+    SELECT vec_id AS id FROM o WHERE place % greatest(1, n // 30) = 0 ORDER BY vec_id LIMIT 30"""
 )
 def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.systematic_sample(embeddings(spark, sf_dir).select("id"), 30)
@@ -341,11 +341,10 @@ def file_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chunk at every level of detail, by length."""
+    """Every chunk as its structural digest."""
     own = table(spark, sf_dir, "chunks").dropDuplicates(["id"])
     hits = own.select("id", F.lit(1).alias("rank"), F.concat(F.lit("file/"), F.col("file_id").cast("string")).alias("path"), "start_line", "end_line", F.lit(0.5).alias("similarity"), "content", "heading", F.lit(None).cast("array<string>").alias("matched"), F.lit(False).alias("is_secondary"))
-    one, three = fold.formatted(hits, F.lit(1)), fold.formatted(hits, F.lit(3))
-    return one.select("id", F.col("tokens").alias("tokens_1"), "formatted").join(three.select("id", F.col("tokens").alias("tokens_3")), "id")
+    return fold.formatted(hits, F.lit(1)).select("id", "level", "formatted", "tokens")
 
 
 @query(
