@@ -43,10 +43,12 @@ class SearchParams:
 def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(id, score): the ``k`` vectors with the largest cosine to one query, at least 0; equal scores by id.
 
-    Null, non-finite and zero vectors and those of another width score nothing and drop out. No shuffle beyond the last top-k.
+    Null, non-finite and zero vectors and those of another width score nothing and drop out; repeated rows count once. Every task
+    keeps its ``k`` first ranks, and only those meet.
     """
     own = vectors.filter(V.usable(vector_col, len(query))).select(F.col(id_col).alias("id"), V.score(vector_col, F.array(*map(F.lit, query))).alias("score"))
-    return own.distinct().orderBy(F.desc("score"), "id").limit(k)
+    ranked = own.withColumn("r", F.dense_rank().over(Window.orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k)
+    return ranked.select("id", "score").distinct()
 
 
 def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
@@ -101,7 +103,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 def basic_search(vectors: DataFrame, chunks: DataFrame, queries: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
     """Twice top_k candidates of each query, joined with the chunks that exist, those over the least similarity, top_k of them."""
     hits = nearest_batch(vectors, queries, params.top_k * 2).filter(F.col("score") >= params.min_similarity)
-    joined = hits.drop("rank").join(chunks.dropDuplicates(["id"]), "id")
+    joined = hits.drop("rank").join(chunks, "id").dropDuplicates(["query_id", "id"])
     ranked = joined.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.filter(F.col("rank") <= params.top_k).withColumn("similarity", round3("score"))
 
@@ -220,6 +222,6 @@ def enhanced_search(chunks: DataFrame, tags: DataFrame, edges: DataFrame, querie
     """Sensing, boost, retrieve and de-duplication for queries (query_id, vector) over chunks (id, content, vector, ...)."""
     vectors = chunks.select("id", "vector")
     boosted = boost(sensing(vectors, queries, params), tags, edges, params)
-    hits = retrieve(vectors, boosted, params).join(chunks.drop("vector").dropDuplicates(["id"]), "id")
+    hits = retrieve(vectors, boosted, params).join(chunks.drop("vector"), "id").dropDuplicates(["query_id", "id"])
     kept = semantic_dedup(hits.withColumn("words", words_of(F.coalesce("content", F.lit("")))), params.dedup_threshold, params.top_k)
     return kept.drop("words").join(boosted.select("query_id", "matched", "logic_depth", "mode"), "query_id")

@@ -498,8 +498,8 @@ def level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "files").select(F.col("id").alias("file_id"), "path").distinct()
-    body = table(spark, sf_dir, "chunks").select("id", "file_id", "content", "heading", "start_line", "end_line").dropDuplicates(["id"]).join(names, "file_id", "left")
-    own = _hits(spark, sf_dir).join(body, "id").withColumns({"matched": F.lit(None).cast("array<string>"), "is_secondary": F.lit(False)})
+    body = table(spark, sf_dir, "chunks").select("id", "file_id", "content", "heading", "start_line", "end_line")
+    own = _hits(spark, sf_dir).join(body, "id").dropDuplicates(["query_id", "id"]).join(names, "file_id", "left").withColumns({"matched": F.lit(None).cast("array<string>"), "is_secondary": F.lit(False)})
     return own.withColumn("path", F.coalesce("path", F.lit("?")))
 
 
@@ -630,6 +630,6 @@ def tag_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: how often tags arrive at files, by the hour."""
     files = table(spark, sf_dir, "files").select(F.col("id").alias("file_id"), "anchor_id").distinct()
     own = table(spark, sf_dir, "file_tags").distinct().filter("tag_id % 100 = 0").join(files, "file_id")
-    return own.groupBy("anchor_id", "file_id", "tag_id", F.date_trunc("hour", "tagged_at").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return own.groupBy("anchor_id", "file_id", "tag_id", F.date_trunc("hour", "tagged_at").cast("timestamp_ntz").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
 
 
