@@ -247,15 +247,16 @@ def labelled_sample(labels: DataFrame, chunks: DataFrame) -> tuple[list, dict[in
     counted = chunks.join(F.broadcast(wanted), "file_id").select(*chunks.columns).mapInArrow(_chunk_counts, "id bigint, file_id bigint, counts binary").toArrow()
     seen: set[int] = set()
     counts: dict[int, list[np.ndarray]] = {}
-    for one, file, raw in zip(counted.column("id").to_pylist(), counted.column("file_id").to_pylist(), counted.column("counts").to_pylist(), strict=True):
-        if one not in seen:
-            seen.add(one)
-            counts.setdefault(file, []).append(np.frombuffer(raw, np.int32).reshape(-1, 2))
+    for batch in counted.to_batches():
+        for one, file, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if one not in seen:
+                seen.add(one)
+                counts.setdefault(file, []).append(np.frombuffer(raw.as_buffer(), np.int32).reshape(-1, 2))
     merged = {}
-    for file, parts in counts.items():
-        flat = np.concatenate(parts)
+    for file in list(counts):
+        flat = np.concatenate(counts.pop(file))
         key, inverse = np.unique(flat[:, 0], return_inverse=True)
-        merged[file] = (key.astype(np.int64), np.bincount(inverse, weights=flat[:, 1]))
+        merged[file] = (key.astype(np.int32), np.bincount(inverse, weights=flat[:, 1]).astype(np.float32))
     return rows, merged
 
 
@@ -266,7 +267,7 @@ def fit(rows: list, counts: dict, held_out: bool = False) -> tuple[Classifier, d
     by anything else. ``recall_beyond_heads`` leaves these out.
     """
     size = RAW + SHAPE + PATHS
-    none = (np.empty(0, np.int64), np.empty(0))
+    none = (np.empty(0, np.int32), np.empty(0, np.float32))
     labels = np.array([1.0 if r.marked or r.odd or r.there else -1.0 for r in rows])
     names = [path_features(r.path or "", r.root) for r in rows]
     homes: dict[str, set] = {}
@@ -275,13 +276,17 @@ def fit(rows: list, counts: dict, held_out: bool = False) -> tuple[Classifier, d
             homes.setdefault(f, set()).add(r.repo)
     least = min(REPOSITORIES, len({r.repo for r in rows}))
     paths = [path_index([f for f in features if len(homes[f]) >= least]) for features in names]
-    freqs = [(at, n / n.sum()) if len(at) else none for at, n in (counts.get(r.file_id, none) for r in rows)]
     mean = np.zeros(size)
-    for at, f in freqs:
-        mean[at] += f / max(1, len(rows))
+    for r in rows:
+        at, n = counts.get(r.file_id, none)
+        mean[at] += n / max(1.0, n.sum()) / len(rows)
     scale = 2 / np.sqrt(mean + 1e-4)
     scale[RAW + SHAPE :] = 0.7
-    data = [(np.concatenate([at, p]), np.concatenate([f * scale[at], np.full(len(p), 0.7)])) for (at, f), p in zip(freqs, paths, strict=True)]
+    data = []
+    for r, p in zip(rows, paths, strict=True):
+        at, n = counts.get(r.file_id, none)
+        values = np.concatenate([n / max(1.0, n.sum()) * scale[at], np.full(len(p), 0.7)])
+        data.append((np.concatenate([at, p.astype(np.int32)]), values.astype(np.float32)))
     aside = np.array([held_out and r.repo is not None and int(mix64(np.array([r.repo], np.int64).view(np.uint64))[0]) % HELD_OUT == 0 for r in rows], bool)
     use = np.flatnonzero(~aside)
     weights, bias = np.zeros(size), 0.0
