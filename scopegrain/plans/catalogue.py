@@ -627,9 +627,13 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT DISTINCT * FROM file_tags) t JOIN (SELECT DISTINCT id, anchor_id FROM files) f ON f.id = t.file_id WHERE t.tag_id % 100 = 0 GROUP BY ALL)"""
 )
 def tag_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extension: how often every hundredth tag arrives at files, by the hour; ``tag_arrivals_all`` counts all tags."""
+    return tag_arrivals_all(spark, sf_dir).filter("tag_id % 100 = 0")
+
+
+@query()
+def tag_arrivals_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: how often tags arrive at files, by the hour."""
     files = table(spark, sf_dir, "files").select(F.col("id").alias("file_id"), "anchor_id").distinct()
-    own = table(spark, sf_dir, "file_tags").distinct().filter("tag_id % 100 = 0").join(files, "file_id")
+    own = table(spark, sf_dir, "file_tags").distinct().join(files, "file_id")
     return own.groupBy("anchor_id", "file_id", "tag_id", F.date_trunc("hour", "tagged_at").cast("timestamp_ntz").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-
-
