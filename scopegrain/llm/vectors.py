@@ -3,7 +3,8 @@
 A vector is written as a sum of full-dimensional codewords. The first two codebooks name the cell that holds the vector;
 the others refine it. Beam search picks the codewords. A query looks up the inner products with all codewords once and
 scores every vector of the cells it probes by table look-ups, divided by a stored norm. What survives the score's error
-margin is scored again: on the spot from one byte an element, then from the vectors themselves, in double precision.
+margin is scored again from the vectors themselves, in double precision. In a search for the k best that happens on the
+spot, and each vector's k best of a block leave it; else one byte an element drops most pairs before the vectors are joined.
 
 Equal vectors are one row of the index, so that a group of copies of any size costs no more than one vector. A cell beyond
 ``BLOCK`` vectors is cut into blocks. Nothing that grows with the data is collected or broadcast: codebooks are fitted on at
@@ -32,8 +33,10 @@ WORDS, LEVELS, BEAM, PROBES = 64, 6, 4, 8
 CELL, BLOCK = 256, 8_192
 #: Standard deviations of the score's error that a candidate may lie under the threshold.
 MARGIN = 4.0
-#: Candidates that a query keeps for each block in a search for the k best, as a multiple of k.
-DEPTH = 12
+#: Passes over the cells in a search for the k best, each with its shuffle files dropped, since whole vectors are sent there.
+PASSES = 3
+#: Candidates that a block's vectors hold, from all that asked, before they are cut to each vector's k best.
+HELD = 200_000
 #: Rows of the other side that are scored in one pass, exactly.
 SIDE = 4_096
 
@@ -124,7 +127,8 @@ def error_floor(inner: np.ndarray, square: np.ndarray, width: int, least: float)
     return (least - MARGIN * spread - 0.02).astype(np.float32)
 
 
-def _index_rows(books: Codebooks, least: float, blocks: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _index_rows(books: Codebooks, least: float, blocks: dict[int, int], only: tuple[int, int] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of both sides by cell. With ``only`` (nth, passes), whole vectors with their smallest ids, of every so many cells."""
     names = ["cell", "block", "side", "vkey", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,15 +139,23 @@ def _index_rows(books: Codebooks, least: float, blocks: dict[int, int]) -> Calla
             for begin in range(0, batch.num_rows, 2_048):
                 part = batch.slice(begin, 2_048)
                 key = part.column("vkey").to_numpy()
-                rows = unit(from_binary(part.column("vec"), np.float32)[0].reshape(len(key), books.width)).astype(np.float32)
+                given = from_binary(part.column("vec"), np.float32)[0].reshape(len(key), books.width)
+                rows = unit(given).astype(np.float32)
                 cell, codes, inner, square = encode(rows, books)
-                scale = np.abs(rows).max(axis=1, keepdims=True) / 127
-                small = np.concatenate([np.rint(rows / scale).astype(np.int8).view(np.uint8), scale.astype(np.float32).view(np.uint8)], axis=1)
+                if only is None:
+                    scale = np.abs(rows).max(axis=1, keepdims=True) / 127
+                    small = np.concatenate([np.rint(rows / scale).astype(np.int8).view(np.uint8), scale.astype(np.float32).view(np.uint8)], axis=1)
+                else:
+                    small = np.concatenate([np.ascontiguousarray(given).view(np.uint8), part.column("least_id").to_numpy()[:, None].copy().view(np.uint8)], axis=1)
                 held = np.concatenate([codes, np.stack([inner, error_floor(inner, square, books.width, least)], axis=1).astype(np.float32).view(np.uint8), small], axis=1)
                 own = (mix64(key.view(np.uint64)) % cut[cell].astype(np.uint64)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(own), pa.array(np.zeros(len(key), np.int8)), pa.array(key), fixed_binary(held)], names)
+                here = slice(None) if only is None else np.flatnonzero(cell % only[1] == only[0])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[here].astype(np.int32)), pa.array(own[here]), pa.array(np.zeros(len(key), np.int8)[here]), pa.array(key[here]), fixed_binary(held[here])], names)
                 near, _, _ = probe(rows, books, PROBES)
                 who, where = np.repeat(np.arange(len(key)), near.shape[1]), near.ravel()
+                if only is not None:
+                    here = where % only[1] == only[0]
+                    who, where = who[here], where[here]
                 times = cut[where]
                 who, where = np.repeat(who, times), np.repeat(where, times)
                 nth = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
@@ -157,7 +169,97 @@ def short(raw: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(raw[:, :width]).view(np.int8) * np.ascontiguousarray(raw[:, width : width + 4]).view(np.float32)
 
 
-def _scored(books: Codebooks, least: float, depth: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def whole(raw: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as given, and their smallest ids."""
+    return np.ascontiguousarray(raw[:, : 4 * width]).view(np.float32), np.ascontiguousarray(raw[:, 4 * width :]).view(np.int64)[:, 0]
+
+
+def k_best(who: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` best of each ``who``; equal scores by the smaller id."""
+    order = np.lexsort((ids, -score, who))
+    sorted_ = who[order]
+    return order[np.arange(len(order)) - np.searchsorted(sorted_, sorted_, side="left") < k]
+
+
+def _ranked(books: Codebooks, least: float, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(a, b, score) of each block: the ``k`` best of its vectors for each that asks, and the ``k`` best that ask for each of
+    its vectors; scored exactly, equal scores by the smaller id."""
+    names = ["a", "b", "score"]
+
+    def pairs(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(score)], names)
+
+    def cut(back: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+        """Of (vector, asking key, asking id, score) each vector's ``k`` best."""
+        if not back:
+            return back
+        x, key, ids, score = (np.concatenate(c) for c in zip(*back, strict=True))
+        top = k_best(x, score, ids, k)
+        return [(x[top], key[top], ids[top], score[top])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refine = np.concatenate(books.levels[2:]).T.copy()
+        sizes = np.cumsum([0, *map(len, books.levels[2:])])
+        second = len(books.levels[1])
+        now: tuple[int, int] = (-1, -1)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        back: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, block, side, key = (batch.column(i).to_numpy() for i in range(4))
+            edge = np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(side) != 0)) + 1
+            for begin, end in zip([0, *edge], [*edge, len(cell)], strict=True):
+                here = int(cell[begin]), int(block[begin])
+                raw, counts = from_binary(batch.column(4).slice(begin, end - begin), np.uint8)
+                raw = raw.reshape(end - begin, counts[0])
+                if here != now:
+                    for x, other, _, score in cut(back):
+                        yield pairs(held[0][0][x], other, score)
+                    now, held, back = here, [], []
+                if side[begin] == 0:
+                    held.append((key[begin:end], raw))
+                    continue
+                if not held:
+                    continue
+                if len(held) > 1:
+                    held = [(np.concatenate([k for k, _ in held]), np.concatenate([r for _, r in held]))]
+                base, packed = held[0]
+                codes = packed[:, :LEVELS]
+                norms = np.ascontiguousarray(packed[:, LEVELS : LEVELS + 8]).view(np.float32)
+                bound = (norms[:, 0] * norms[:, 1])[:, None]
+                rows, ids = whole(packed[:, LEVELS + 8 :], books.width)
+                light = unit(rows).astype(np.float32)
+                centre = books.levels[0][here[0] // second] + books.levels[1][here[0] % second]
+                for at in range(0, end - begin, 512):
+                    given, asking = whole(raw[at : at + 512], books.width)
+                    asked = unit(given).astype(np.float32)
+                    table = np.ascontiguousarray((asked @ refine).T)
+                    score = np.repeat((asked @ centre)[None, :], len(base), axis=0)
+                    for level in range(LEVELS):
+                        score += table[sizes[level] : sizes[level + 1]][codes[:, level]]
+                    x, q = np.nonzero(score >= bound)
+                    close = np.concatenate([np.einsum("ij,ij->i", light[x[i : i + 65_536]], asked[q[i : i + 65_536]]) >= least - 1e-4 for i in range(0, max(1, len(x)), 65_536)])
+                    close &= base[x] != key[begin + at + q]
+                    x, q = x[close], q[close]
+                    exact = np.concatenate([cosine_rows(rows[x[i : i + 65_536]], given[q[i : i + 65_536]]) for i in range(0, max(1, len(x)), 65_536)])
+                    close = exact >= least
+                    x, q, exact = x[close], q[close], exact[close]
+                    if not len(x):
+                        continue
+                    top = k_best(q, exact, ids[x], k)
+                    yield pairs(base[x[top]], key[begin + at + q[top]], exact[top])
+                    top = k_best(x, exact, asking[q], k)
+                    back.append((x[top], key[begin + at + q[top]], asking[q[top]], exact[top]))
+                    if sum(len(b[0]) for b in back) > HELD:
+                        back = cut(back)
+        for x, other, _, score in cut(back):
+            yield pairs(held[0][0][x], other, score)
+
+    return run
+
+
+def _scored(books: Codebooks, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refine = np.concatenate(books.levels[2:]).T.copy()
         sizes = np.cumsum([0, *map(len, books.levels[2:])])
@@ -197,12 +299,7 @@ def _scored(books: Codebooks, least: float, depth: int | None) -> Callable[[Iter
                         score += table[sizes[level] : sizes[level + 1]][codes[:, level]]
                     x, q = np.nonzero(score >= bound)
                     closer = np.concatenate([np.einsum("ij,ij->i", rough[x[i : i + 65_536]], asked[q[i : i + 65_536]]) for i in range(0, max(1, len(x)), 65_536)])
-                    x, q, closer = (c[closer >= least - 0.01] for c in (x, q, closer))
-                    if depth is not None and len(x) > depth:
-                        order = np.lexsort((-closer, q))
-                        x, q = x[order], q[order]
-                        top = np.arange(len(q)) - np.searchsorted(q, q, side="left") < depth
-                        x, q = x[top], q[top]
+                    x, q = x[closer >= least - 0.01], q[closer >= least - 0.01]
                     a, b = base[x], key[begin + at + q]
                     other = a != b
                     if other.any():
@@ -264,7 +361,7 @@ def vector_groups(vectors: DataFrame, keep: int) -> DataFrame:
 def near_pairs(groups: DataFrame, least: float, k: int | None = None, width: int = 64) -> DataFrame:
     """(a, b, score), a < b: pairs of distinct vectors of ``groups`` (a written table) with cosine >= ``least``.
 
-    With ``k``, only what the k best of either vector may need. Every vector is indexed and asks; recall is measured in the
+    With ``k``, only what the k best of either vector may need, equal scores by the group's smallest id. Every vector is indexed and asks; recall is measured in the
     tests. No vectors at all give no pairs.
     """
     spark = groups.sparkSession
@@ -285,9 +382,18 @@ def near_pairs(groups: DataFrame, least: float, k: int | None = None, width: int
 
     sizes = groups.select("vec").mapInArrow(cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > BLOCK // 2).collect()
     blocks = {r.cell: -(-r.n // (BLOCK // 2)) for r in sizes}
-    rows = groups.select("vkey", "vec").mapInArrow(_index_rows(books, least, blocks), "cell int, block int, side tinyint, vkey bigint, payload binary")
+    schema = "cell int, block int, side tinyint, vkey bigint, payload binary"
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(books.cells, total // 4_096))
-    pairs = rows.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "side").mapInArrow(_scored(books, least, k and k * DEPTH), "a bigint, b bigint").repartition("a").distinct()
+    if k is not None:
+        out = None
+        for nth in range(passes := min(PASSES, books.cells)):
+            rows = groups.select("vkey", "vec", F.array_min("ids").alias("least_id")).mapInArrow(_index_rows(books, least, blocks, (nth, passes)), schema)
+            found = rows.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "side").mapInArrow(_ranked(books, least, k), "a bigint, b bigint, score double")
+            found = materialise(found, "ranked-pairs")
+            out = found if out is None else out.unionByName(found)
+        return out.groupBy("a", "b").agg(F.max("score").alias("score"))
+    rows = groups.select("vkey", "vec").mapInArrow(_index_rows(books, least, blocks), schema)
+    pairs = rows.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "side").mapInArrow(_scored(books, least), "a bigint, b bigint").repartition("a").distinct()
     one = groups.select(F.col("vkey").alias("a"), F.col("vec").alias("va"))
     two = groups.select(F.col("vkey").alias("b"), F.col("vec").alias("vb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInArrow(_exact(width, least), "a bigint, b bigint, score double")
