@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from scopegrain.functions.text import terms
 
+#: Texts in the longest uncut inverted list.
+BLOCK = 4_096
+
 
 def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf): how often each term stands in each text; null texts have none, repeated rows count once."""
@@ -102,3 +105,33 @@ def shared_terms(left: DataFrame, right: DataFrame, least: float, rare: int) ->
     both = pairs.join(sets_a, "left_id").join(sets_b, "right_id")
     value = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
     return both.select("left_id", "right_id", F.round(value, 6).alias("similarity")).filter(F.col("similarity") > least)
+
+
+def similar_terms(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(left_id, right_id, similarity): all pairs of texts (id, text) whose sets of terms have a Jaccard similarity over ``least``.
+
+    Terms stand in one order, those rare on the right side first. Two sets that reach ``least`` share a term among the first
+    n - ceil(least * n) + 1 of each, and enough terms follow the first one they share. Lists are cut into blocks of ``BLOCK``.
+    """
+    a = term_counts(left, "id", "text").select("id", "term")
+    b = term_counts(right, "id", "text").select("id", "term")
+    often = document_counts(b)
+
+    def ordered(sets: DataFrame) -> DataFrame:
+        own = sets.join(often, "term", "left").select("id", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term").alias("t"))
+        return own.groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("terms"))
+
+    def posted(sets: DataFrame, side: str) -> DataFrame:
+        n = F.size("terms")
+        first = F.slice("terms", 1, n - F.ceil(n * least - 1e-9).cast("int") + 1)
+        own = sets.select(F.col("id").alias(f"{side}_id"), n.alias(f"{side}_n"), F.posexplode(first).alias(f"{side}_at", "t"))
+        return own.select(f"{side}_id", f"{side}_n", f"{side}_at", F.col("t.term").alias("term"), F.ceil(F.col("t.df") / BLOCK).alias("blocks"))
+
+    x, y = ordered(a), ordered(b)
+    lists = posted(y, "right").withColumn("block", F.pmod(F.xxhash64("right_id"), "blocks")).drop("blocks")
+    asked = posted(x, "left").filter("blocks > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks")
+    follow = F.least(F.col("left_n") - F.col("left_at"), F.col("right_n") - F.col("right_at"))
+    pairs = asked.join(lists, ["term", "block"]).filter(follow >= (F.col("left_n") + F.col("right_n")) * (least / (1 + least)) - 1e-9).select("left_id", "right_id").distinct()
+    both = pairs.join(x.select(F.col("id").alias("left_id"), F.col("terms.term").alias("x")), "left_id").join(y.select(F.col("id").alias("right_id"), F.col("terms.term").alias("y")), "right_id")
+    value = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
+    return both.select("left_id", "right_id", F.round(value, 6).alias("similarity")).filter(F.col("similarity") > least)

@@ -315,6 +315,14 @@ def jaccard_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.shared_terms(left, right, 0.2, 20)
 
 
+@query()
+def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As jaccard_candidates, but over all pairs: no term is too frequent."""
+    left = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("id"), "text")
+    right = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return tags.similar_terms(left, right, 0.2)
+
+
 # text functions
 
 

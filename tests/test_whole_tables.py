@@ -3,6 +3,10 @@
 from collections import Counter
 from datetime import datetime
 
+import numpy as np
+import pytest
+
+from scopegrain.operators import tags
 from scopegrain.plans import catalogue
 
 
@@ -15,3 +19,17 @@ def test_arrivals_of_all_tags_are_counted(spark, tmp_path):
     want = Counter((dict(files)[f], f, t, when.replace(minute=0)) for f, t, when in tagged if f in dict(files))
     rows = catalogue.queries()["tag_arrivals_all"](spark, str(tmp_path)).collect()
     assert {(r.anchor_id, r.file_id, r.tag_id, r.hour): r.n for r in rows} == want and len(rows) == len(want)
+
+
+@pytest.mark.parametrize("block", [7, 4_096])
+def test_similar_texts_with_frequent_terms_are_found(spark, monkeypatch, block):
+    monkeypatch.setattr(tags, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    text = lambda n: " ".join(f"word{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abc'[i // 26]}" for i in rng.integers(0, 70, size=n))
+    passage = text(15)
+    right = [(i, passage) for i in range(25)] + [(100 + i, text(4 + i % 30)) for i in range(150)] + [(900, None), (901, "")]
+    left = [(i, text(4 + 3 * i)) for i in range(20)] + [(50, passage), (51, passage + " zebra yonder"), (52, None), (53, "")]
+    got = {(r.left_id, r.right_id): r.similarity for r in tags.similar_terms(spark.createDataFrame(left, "id bigint, text string"), spark.createDataFrame(right + right[:9], "id bigint, text string"), 0.2).collect()}
+    sets = lambda rows: {i: set(t.split()) for i, t in rows if t}
+    want = {(i, j): round(len(x & y) / len(x | y), 6) for i, x in sets(left).items() for j, y in sets(right).items()}
+    assert got == {p: pytest.approx(s, abs=1e-6) for p, s in want.items() if s > 0.2} and {(50, i) for i in range(25)} <= set(got)
