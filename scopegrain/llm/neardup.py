@@ -294,10 +294,33 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/chunks.parquet"))
 
 
+def document_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Membership (id, skey, whole) of every document and pairs (a, b, similarity) between the classes' keys, over (doc_id, text).
+
+    Documents with equal shingle sets are one class. One without shingles is classed by its whole text (``whole``); without
+    a text it is a class of its own. Rows with a null id drop out.
+    """
+    members, pairs = near_duplicate_texts(docs, "doc_id", "text")
+    shingled = members.select("id", F.col("skey").cast("string").alias("skey"), F.lit(False).alias("whole"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).filter("id is not null")
+    key = F.coalesce(F.sha2("text", 256), F.concat(F.lit("id "), F.col("id").cast("string")))
+    rest = texts.select("id", key.alias("skey"), F.lit(True).alias("whole")).distinct().join(members.select("id").distinct(), "id", "left_anti")
+    return shingled.unionByName(rest), pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "similarity")
+
+
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each document: the smallest id with the same shingle set, and the links of its class to others."""
-    members, pairs = near_duplicate_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    """One row for each document: the smallest id of its class, the class's size, and its links to other classes."""
+    members, pairs = document_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     links = pairs.select(F.explode(F.array("a", "b")).alias("skey")).groupBy("skey").agg(F.count(F.lit(1)).alias("links"))
     first = members.groupBy("skey").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members"))
     named = first.join(links, "skey", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("bigint")))
     return members.join(named, "skey").select(F.col("id").alias("doc_id"), "class_id", "members", "links")
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(class_a, class_b, similarity), class_a < class_b: the near-duplicates among the classes of p3_classes."""
+    members, pairs = document_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    first = members.filter("not whole").groupBy("skey").agg(F.min("id").alias("class_id"))
+    one, two = first.select(F.col("skey").alias("a"), F.col("class_id").alias("x")), first.select(F.col("skey").alias("b"), F.col("class_id").alias("y"))
+    joined = pairs.join(one, "a").join(two, "b")
+    return joined.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"), F.round("similarity", 6).alias("similarity"))

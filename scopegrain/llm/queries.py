@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": together.p2_found,
         "p3_found": neardup.p3_found,
         "p3_classes": neardup.p3_classes,
+        "p3_pairs": neardup.p3_pairs,
         "p4_found": handwritten.p4_found,
         "p5_found": split.p5_found,
         "p6_ids": bpe.p6_ids,
