@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Deepest tree that is followed; a parent cycle ends there.
-DEPTH = 64
-
 
 def ancestors(spark: SparkSession, roots: DataFrame) -> DataFrame:
-    """(id, ancestor_id, distance): every root's ancestors over (id, parent_id); a missing parent ends the chain."""
-    roots.select("id", "parent_id").distinct().createOrReplaceTempView("scope_roots")
+    """(id, ancestor_id, distance): every root's ancestors over (id, parent_id); a missing parent ends the chain, as does a
+    root that the chain has passed. So no chain is longer than the number of roots."""
+    own = roots.select("id", "parent_id").distinct()
+    own.createOrReplaceTempView("scope_roots")
     return spark.sql(
-        f"""WITH RECURSIVE up(id, ancestor_id, distance) AS (
-            SELECT c.id, p.id, 1 FROM scope_roots c JOIN scope_roots p ON c.parent_id = p.id
+        f"""WITH RECURSIVE up(id, ancestor_id, distance, passed) MAX RECURSION LEVEL {own.count() + 1} AS (
+            SELECT c.id, p.id, 1, array(c.id, p.id) FROM scope_roots c JOIN scope_roots p ON c.parent_id = p.id WHERE c.id <> p.id
             UNION ALL
-            SELECT u.id, p.id, u.distance + 1 FROM up u JOIN scope_roots c ON u.ancestor_id = c.id
-            JOIN scope_roots p ON c.parent_id = p.id WHERE u.distance < {DEPTH})
+            SELECT u.id, p.id, u.distance + 1, array_append(u.passed, p.id) FROM up u JOIN scope_roots c ON u.ancestor_id = c.id
+            JOIN scope_roots p ON c.parent_id = p.id WHERE NOT array_contains(u.passed, p.id))
         SELECT id, ancestor_id, distance FROM up"""
     )
 

@@ -6,7 +6,7 @@ from datetime import datetime
 import numpy as np
 import pytest
 
-from scopegrain.operators import tags
+from scopegrain.operators import scopes, tags
 from scopegrain.plans import catalogue
 
 
@@ -33,3 +33,12 @@ def test_similar_texts_with_frequent_terms_are_found(spark, monkeypatch, block):
     sets = lambda rows: {i: set(t.split()) for i, t in rows if t}
     want = {(i, j): round(len(x & y) / len(x | y), 6) for i, x in sets(left).items() for j, y in sets(right).items()}
     assert got == {p: pytest.approx(s, abs=1e-6) for p, s in want.items() if s > 0.2} and {(50, i) for i in range(25)} <= set(got)
+
+
+def test_ancestors_of_a_deep_tree_and_of_a_cycle(spark):
+    deep = [(i, i - 1 if i else None) for i in range(70)]
+    ring = [(500, 501), (501, 502), (502, 500), (503, 500), (600, 600)]
+    got = sorted(tuple(r) for r in scopes.ancestors(spark, spark.createDataFrame(deep + ring, "id bigint, parent_id bigint")).collect())
+    want = [(i, j, i - j) for i in range(70) for j in range(i)]
+    around = [(500, 501, 1), (500, 502, 2), (501, 502, 1), (501, 500, 2), (502, 500, 1), (502, 501, 2), (503, 500, 1), (503, 501, 2), (503, 502, 3)]
+    assert got == sorted(want + around)
