@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scopegrain.shared import materialise
 
-def ancestors(spark: SparkSession, roots: DataFrame) -> DataFrame:
+
+def ancestors(roots: DataFrame) -> DataFrame:
     """(id, ancestor_id, distance): every root's ancestors over (id, parent_id); a missing parent ends the chain, as does a
-    root that the chain has passed. So no chain is longer than the number of roots."""
+    root that the chain has passed.
+
+    By doubling: with all ancestors up to a distance d known, one join with those at exactly d gives all up to 2 d. So a chain
+    of any depth takes the logarithm of its depth in rounds, each cut off in a written table. Repeated rows count once.
+    """
     own = roots.select("id", "parent_id").distinct()
-    own.createOrReplaceTempView("scope_roots")
-    return spark.sql(
-        f"""WITH RECURSIVE up(id, ancestor_id, distance, passed) MAX RECURSION LEVEL {own.count() + 1} AS (
-            SELECT c.id, p.id, 1, array(c.id, p.id) FROM scope_roots c JOIN scope_roots p ON c.parent_id = p.id WHERE c.id <> p.id
-            UNION ALL
-            SELECT u.id, p.id, u.distance + 1, array_append(u.passed, p.id) FROM up u JOIN scope_roots c ON u.ancestor_id = c.id
-            JOIN scope_roots p ON c.parent_id = p.id WHERE NOT array_contains(u.passed, p.id))
-        SELECT id, ancestor_id, distance FROM up"""
-    )
+    known = own.join(own.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi")
+    jump = materialise(known.select("id", F.col("parent_id").alias("ancestor_id")), "jumps")
+    near, size = materialise(jump.filter("id <> ancestor_id").withColumn("distance", F.lit(1)), "ancestors"), -1
+    reach = 1
+    while (count := near.count()) != size:
+        size = count
+        onward = jump.withColumnsRenamed({"ancestor_id": "via"})
+        # A root that comes round to itself is no ancestor, but what lies beyond it is reached through the next jump.
+        further = onward.join(near.withColumnRenamed("id", "via"), "via").select("id", "ancestor_id", (F.col("distance") + reach).alias("distance"))
+        landed = jump.withColumn("distance", F.lit(reach))
+        both = near.unionByName(further).unionByName(landed).filter("id <> ancestor_id")
+        near = materialise(both.groupBy("id", "ancestor_id").agg(F.min("distance").alias("distance")), "ancestors")
+        jump = materialise(onward.join(jump.withColumnRenamed("id", "via"), "via").select("id", "ancestor_id"), "jumps")
+        reach *= 2
+    return near
 
 
 def nearest_root(files: DataFrame, roots: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from scopegrain.functions import vector as V
 from scopegrain.functions.text import round3, terms
+from scopegrain.operators.sync import numbered
+from scopegrain.shared import materialise
 
 #: Queries that one pass over the vectors scores.
 BLOCK = 1_024
@@ -43,57 +45,81 @@ class SearchParams:
 def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(id, score): the ``k`` vectors with the largest cosine to one query, at least 0; equal scores by id.
 
-    Null, non-finite and zero vectors and those of another width score nothing and drop out; repeated rows count once. Every task
-    keeps its ``k`` first ranks, and only those meet.
+    Null, non-finite and zero vectors and those of another width score nothing and drop out; repeated rows count once. The rank
+    limit works before the exchange (as a window group limit), so every task sends its ``k`` first ranks only.
     """
     own = vectors.filter(V.usable(vector_col, len(query))).select(F.col(id_col).alias("id"), V.score(vector_col, F.array(*map(F.lit, query))).alias("score"))
     ranked = own.withColumn("r", F.dense_rank().over(Window.orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k)
     return ranked.select("id", "score").distinct()
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
-    """(query_id, id, score): for each query (query_id, vector) its ``k`` best vectors (id, vector) by cosine, at least 0.
+def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, within: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank): for each query (query_id, vector) its ``k`` best vectors (id, vector) by cosine, at least 0.
 
     Equal scores by id; scores rounded to 6 decimals decide. Unusable vectors neither ask nor answer; repeated rows count once.
+    With ``within`` (query_id, group), vectors have a ``group`` too: a query sees the vectors of its groups only, and has its
+    ``k`` best in each of them; the result then has the column ``group``.
     """
     spark = vectors.sparkSession
+    grouped = within is not None
     asked = queries.filter(V.usable("vector")).select("query_id", V.doubles("vector").alias("vector")).distinct()
+    own = vectors.select("id", V.doubles("vector").alias("vector"), *(["group"] if grouped else [])).filter("vector is not null")
+    kind = ", ".join(f"{c} {t}" for c, t in [("query_id", "bigint"), *([("group", "bigint")] if grouped else []), ("id", "bigint"), ("score", "double")])
     blocks = max(1, -(-asked.count() // BLOCK))
     out = None
     for block in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").collect()
+        here = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block
         by_width: dict[int, list] = {}
-        for row in part:
+        for row in asked.filter(here).orderBy("query_id").collect():
             by_width.setdefault(len(row.vector), []).append(row)
+        allowed: dict[int, list] = {}
+        for row in within.filter(here).distinct().collect() if grouped else []:
+            allowed.setdefault(row.query_id, []).append(row.group)
         sides = {w: (np.array([r.query_id for r in rows]), _unit(np.array([r.vector for r in rows]))) for w, rows in by_width.items()}
-
-        def run(batches: Iterator[pa.RecordBatch], sides: dict = sides) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                column = batch.column(1)
-                offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                for width, (names, unit) in sides.items():
-                    at = np.flatnonzero(np.diff(offsets) == width)
-                    rows = values[offsets[at][:, None] + np.arange(width)]
-                    fine = np.isfinite(rows).all(axis=1) & (rows != 0).any(axis=1)
-                    at, rows = at[fine], rows[fine]
-                    # A repeated row must not take two of a batch's k places.
-                    once = np.unique(np.concatenate([rows.view(np.int64), ids[at][:, None].astype(np.int64)], axis=1), axis=0, return_index=True)[1]
-                    at, rows = at[once], rows[once]
-                    if not len(at):
-                        continue
-                    score = np.round(np.maximum(0.0, unit @ _unit(rows).T), 6)
-                    for q in range(len(names)):
-                        good = np.arange(len(at)) if least is None else np.flatnonzero(score[q] >= least)
-                        if len(good) > k:
-                            cut = np.partition(score[q, good], -k)[-k]
-                            good = good[score[q, good] >= cut]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[q], len(good))), pa.array(ids[at[good]]), pa.array(score[q, good])], ["query_id", "id", "score"])
-
-        found = vectors.select("id", V.doubles("vector").alias("vector")).filter("vector is not null").mapInArrow(run, "query_id bigint, id bigint, score double")
+        sent = spark.sparkContext.broadcast((sides, {q: np.unique(g) for q, g in allowed.items()}))
+        found = own.mapInArrow(_best_of_batches(sent, k, least, grouped), kind)
         out = found if out is None else out.unionByName(found)
-    ranked = out.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.filter(F.col("rank") <= k) if out is not None else spark.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
+    places = Window.partitionBy("query_id", *(["group"] if grouped else [])).orderBy(F.desc("score"), "id")
+    return out.distinct().withColumn("rank", F.row_number().over(places)).filter(F.col("rank") <= k)
+
+
+def _best_of_batches(sent, k: int, least: float | None, grouped: bool):  # noqa: ANN001, ANN202
+    """Each query's ``k`` best of every batch, by group if there are groups; ties by id, so no more than ``k`` leave a batch."""
+    names = ["query_id", *(["group"] if grouped else []), "id", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides, allowed = sent.value
+        for batch in batches:
+            column = batch.column(1)
+            offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            groups = batch.column(2).to_numpy(zero_copy_only=False) if grouped else np.zeros(len(ids), np.int64)
+            for width, (asking, unit) in sides.items():
+                at = np.flatnonzero(np.diff(offsets) == width)
+                rows = values[offsets[at][:, None] + np.arange(width)]
+                fine = np.isfinite(rows).all(axis=1) & (rows != 0).any(axis=1)
+                at, rows = at[fine], rows[fine]
+                # A repeated row must not take two of a batch's k places.
+                keys = np.stack([ids[at].astype(np.int64), groups[at].astype(np.int64)], axis=1)
+                once = np.unique(np.concatenate([rows.view(np.int64), keys], axis=1), axis=0, return_index=True)[1]
+                at, rows = at[once], rows[once]
+                if not len(at):
+                    continue
+                score = np.round(np.maximum(0.0, unit @ _unit(rows).T), 6)
+                for q, name in enumerate(asking):
+                    good = np.arange(len(at)) if least is None else np.flatnonzero(score[q] >= least)
+                    if grouped:
+                        good = good[np.isin(groups[at[good]], allowed.get(int(name), np.empty(0, np.int64)))]
+                    elif len(good) > k:
+                        # What lies under the k-th score goes before the rest is sorted.
+                        good = good[score[q, good] >= np.partition(score[q, good], -k)[-k]]
+                    order = good[np.lexsort((ids[at[good]], -score[q, good], groups[at[good]]))]
+                    own = groups[at[order]]
+                    order = order[np.arange(len(order)) - np.searchsorted(own, own, side="left") < k]
+                    parts = [pa.array(np.repeat(name, len(order))), *([pa.array(groups[at[order]].astype(np.int64))] if grouped else []), pa.array(ids[at[order]]), pa.array(score[q, order])]
+                    yield pa.RecordBatch.from_arrays(parts, names)
+
+    return run
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -108,42 +134,57 @@ def basic_search(vectors: DataFrame, chunks: DataFrame, queries: DataFrame, para
     return ranked.filter(F.col("rank") <= params.top_k).withColumn("similarity", round3("score"))
 
 
+def scoped_search(vectors: DataFrame, chunks: DataFrame, queries: DataFrame, members: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
+    """(query_id, id, path, start_line, similarity, rank): hits over several roots.
+
+    ``queries`` have (query_id, root_id, vector), ``members`` (id, member_id) name the roots that a search from a root covers,
+    ``vectors`` have (id, vector, group) with their root as group, ``chunks`` (id, path, start_line). Every root covered gives
+    its top_k hits over the least similarity; of hits at one place (path and line) the best counts, and top_k of all remain.
+    A query or vector without a root is in no scope.
+    """
+    from scopegrain.operators.scopes import merged_hits
+
+    within = queries.join(members.withColumnRenamed("id", "root_id"), "root_id").select("query_id", F.col("member_id").alias("group"))
+    hits = nearest_batch(vectors, queries.select("query_id", "vector"), params.top_k, params.min_similarity, within).drop("rank", "group")
+    placed = hits.join(chunks.select("id", "path", "start_line").dropDuplicates(["id"]), "id").withColumn("similarity", round3("score"))
+    return merged_hits(placed.select("query_id", "id", "path", "start_line", "similarity"), params.top_k)
+
+
 def systematic_sample(vectors: DataFrame, n: int = 30) -> DataFrame:
-    """Every step-th vector by id, the first ``n`` of them, where step is N // n and at least 1.
+    """Every step-th vector by id, the first ``n`` of them, where step is N // n and at least 1; ids that repeat count once.
 
-    Ranks come from sorted partitions' counts, not from one global window: ids are range-partitioned and only the partitions'
-    sizes go to the driver.
+    Only ids are placed and ranked (see ``sync.numbered``); the few chosen ones then fetch their rows.
     """
-    total = vectors.count()
-    step = max(1, total // n)
-    spark = vectors.sparkSession
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 10_000))
-    placed = vectors.repartitionByRange(parts, "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
-    sizes = {r.part: r.n for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, run = {}, 0
-    for part in sorted(sizes):
-        before[part], run = run, run + sizes[part]
-    local = F.row_number().over(Window.partitionBy("part").orderBy("id"))
-    start = F.create_map(*(x for p, b in before.items() for x in (F.lit(p), F.lit(b)))) if before else None
-    at = (local - 1 + (F.element_at(start, F.col("part")) if start is not None else F.lit(0))).alias("at")
-    return placed.select(*vectors.columns, at).filter(F.col("at") % step == 0).orderBy("at").limit(n).drop("at")
-
-
-def sensing(vectors: DataFrame, queries: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
-    """``queries`` (query_id, vector) with ``logic_depth`` and ``mode``: how widely a query spreads over the sample's main axes.
-
-    With fewer vectors than ``least_vectors`` the depth is 0.5. The sample's mean is not taken off the query.
+    ids = materialise(vectors.select("id").filter("id is not null").distinct(), "ids")
+    step = max(1, ids.count() // n)
+    at = numbered(ids, ["id"], -1, "at")
+    wanted = at.filter((F.col("at") % step == 0) & (F.col("at") < n * step)).select("id")
+    # At most n ids.
+    return vectors.join(F.broadcast(wanted), "id", "left_semi").dropDuplicates(["id"])
+
+
+def main_axes(vectors: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
+    """(axes, strengths, k), one row: the main axes of the systematic sample; no row with fewer than ``least_vectors`` vectors.
+
+    Built with the index and stored beside it, so that a search reads one row instead of ranking ids.
     """
-    fine = vectors.filter(V.usable("vector")).select("id", "vector").dropDuplicates(["id"])
-    mode = F.when(F.col("logic_depth") > params.explore_over, "explore").otherwise("precise")
-    if fine.limit(params.least_vectors).count() < params.least_vectors:
-        return queries.withColumn("logic_depth", F.lit(0.5)).withColumn("mode", mode)
+    fine = vectors.filter(V.usable("vector")).select("id", "vector")
+    if fine.select("id").distinct().limit(params.least_vectors).count() < params.least_vectors:
+        return vectors.sparkSession.createDataFrame([], "axes array<array<double>>, strengths array<double>, k int")
     sample = systematic_sample(fine, params.sample).select(F.lit(1).alias("grp"), V.doubles("vector").alias("vector"))
-    axes = sample.groupBy("grp").applyInPandas(V.principal_axes(params.components), "grp int, axes array<array<double>>, strengths array<double>, k int")
-    joined = queries.join(F.broadcast(axes.drop("grp")))
+    return sample.groupBy("grp").applyInPandas(V.principal_axes(params.components), "grp int, axes array<array<double>>, strengths array<double>, k int").drop("grp")
+
+
+def sensing(axes: DataFrame, queries: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
+    """``queries`` (query_id, vector) with ``logic_depth`` and ``mode``: how widely a query spreads over the main axes.
+
+    ``axes`` is the one row of ``main_axes``; without a row the depth is 0.5. The sample's mean is not taken off the query.
+    """
+    joined = queries.join(F.broadcast(axes.select("axes", "k")), F.lit(True), "left")
     zero = F.transform(V.doubles("vector"), lambda x: x * 0)
     profiled = joined.withColumn("profile", V.energy_profile("vector", F.col("axes"), zero))
-    out = profiled.withColumn("logic_depth", V.logic_depth(F.col("profile.entropy"), F.col("k")))
+    out = profiled.withColumn("logic_depth", F.coalesce(V.logic_depth(F.col("profile.entropy"), F.col("k")), F.lit(0.5)))
+    mode = F.when(F.col("logic_depth") > params.explore_over, "explore").otherwise("precise")
     return out.withColumn("mode", mode).select(*queries.columns, "logic_depth", "mode")
 
 
@@ -218,10 +259,15 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(terms(text))
 
 
-def enhanced_search(chunks: DataFrame, tags: DataFrame, edges: DataFrame, queries: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
-    """Sensing, boost, retrieve and de-duplication for queries (query_id, vector) over chunks (id, content, vector, ...)."""
+def enhanced_search(chunks: DataFrame, tags: DataFrame, edges: DataFrame, queries: DataFrame, params: SearchParams = SearchParams(), axes: DataFrame | None = None) -> DataFrame:
+    """Sensing, boost, retrieve and de-duplication for queries (query_id, vector) over chunks (id, content, vector, ...).
+
+    ``axes`` are those stored with the index; without them they are computed here.
+    """
     vectors = chunks.select("id", "vector")
-    boosted = boost(sensing(vectors, queries, params), tags, edges, params)
+    axes = main_axes(vectors, params) if axes is None else axes
+    # The queries are a stated set; the steps below use their boosted form several times.
+    boosted = materialise(boost(sensing(axes, queries, params), tags, edges, params), "boosted")
     hits = retrieve(vectors, boosted, params).join(chunks.drop("vector"), "id").dropDuplicates(["query_id", "id"])
     kept = semantic_dedup(hits.withColumn("words", words_of(F.coalesce("content", F.lit("")))), params.dedup_threshold, params.top_k)
     return kept.drop("words").join(boosted.select("query_id", "matched", "logic_depth", "mode"), "query_id")

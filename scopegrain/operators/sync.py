@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scopegrain.shared import materialise
+
 
 def indexed_hashes(chunks: DataFrame) -> DataFrame:
     """(path, hash): the hash that the chunk with the smallest id of each file carries; from (id, path, hash)."""
@@ -24,19 +26,28 @@ def changes(current: DataFrame, indexed: DataFrame, force: bool = False) -> Data
     return a.join(b, "path", "full_outer").select("path", status.alias("status"))
 
 
-def numbered(fresh: DataFrame, order: list[str], above: int) -> DataFrame:
-    """``fresh`` with ``id``: above + 1 and on, in the given order, without pulling all rows into one task.
+def numbered(fresh: DataFrame, order: list[str], above: int, name: str = "id") -> DataFrame:
+    """``fresh`` with ``id``: above + 1 and on, in the given order (nulls first), without pulling all rows into one task.
 
-    Rows are range-partitioned by the order; only the partitions' sizes go to the driver.
+    Rows are range-partitioned by the order and written once, each with its partition's number; the sizes are counted and the
+    rows numbered from that table, so that both see one placement, whatever the range sampler or adaptive execution would do
+    in another job. Only the partitions' sizes go to the driver. Rows that are equal in the order are told apart by their
+    other columns; rows equal throughout are interchangeable. An empty table gives no rows.
     """
-    placed = fresh.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    sizes = sorted((r.part, r.n) for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    spark = fresh.sparkSession
+    order = [*order, "_tie"]
+    tied = fresh.withColumn("_tie", F.xxhash64(*fresh.columns))
+    placed = materialise(tied.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "placed")
+    sizes = sorted((r["_part"], r.n) for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
     before, run = [], above
     for part, n in sizes:
-        before += [F.lit(part), F.lit(run).cast("bigint")]
+        before.append((part, run))
         run += n
-    start = F.element_at(F.create_map(*before), F.col("part")) if before else F.lit(above)
-    return placed.withColumn("id", F.row_number().over(Window.partitionBy("part").orderBy(*order)) + start).drop("part")
+    # One row for each partition.
+    start = F.broadcast(spark.createDataFrame(before, "_part int, _start bigint"))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    ranked = placed.withColumn("_local", local).join(start, "_part")
+    return ranked.select(*fresh.columns, (F.col("_local") + F.col("_start")).alias(name))
 
 
 def apply_changes(chunks: DataFrame, fresh: DataFrame, diff: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scopegrain.functions.text import terms
+from scopegrain.shared import materialise
 
 #: Texts in the longest uncut inverted list.
 BLOCK = 4_096
@@ -17,6 +18,12 @@ def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.select("id", F.explode(terms("text")).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term): the distinct terms of each text; texts are read where they lie and never shuffled."""
+    own = df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(terms(text_col))).alias("term"))
+    return own.distinct()
+
+
 def document_counts(counts: DataFrame) -> DataFrame:
     """(term, df)."""
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -35,7 +42,7 @@ def choose_tags(df: DataFrame, id_col: str, text_col: str, most: int = 50) -> Da
 
 def assign_tags(df: DataFrame, id_col: str, text_col: str, tags: DataFrame) -> DataFrame:
     """(id, tag_id): the tags (id, name) whose name is a term of the text."""
-    own = term_counts(df, id_col, text_col).select("id", "term")
+    own = term_sets(df, id_col, text_col)
     named = tags.select(F.col("id").alias("tag_id"), F.col("name").alias("term")).distinct()
     return own.join(named, "term").select("id", "tag_id").distinct()
 
@@ -90,31 +97,13 @@ def inspect_tag(tags: DataFrame, edges: DataFrame, name: str, most: int = 20, le
     return found.join(tags.select(F.col("id").alias("tag"), "name").distinct(), "tag").select("name", "weight")
 
 
-def shared_terms(left: DataFrame, right: DataFrame, least: float, rare: int) -> DataFrame:
-    """(left_id, right_id, similarity): pairs of texts (id, text) whose sets of terms have a Jaccard similarity over ``least``,
-    among those that share a term that at most ``rare`` texts of the right side hold.
-
-    An inverted list of more than ``rare`` texts is never joined, so no list's pairs grow with the data.
-    """
-    a = term_counts(left, "id", "text").select(F.col("id").alias("left_id"), "term")
-    b = term_counts(right, "id", "text").select(F.col("id").alias("right_id"), "term")
-    few = document_counts(b.withColumnRenamed("right_id", "id")).filter(F.col("df") <= rare).select("term")
-    pairs = a.join(b.join(few, "term"), "term").select("left_id", "right_id").distinct()
-    sets_a = a.groupBy("left_id").agg(F.collect_set("term").alias("x"))
-    sets_b = b.groupBy("right_id").agg(F.collect_set("term").alias("y"))
-    both = pairs.join(sets_a, "left_id").join(sets_b, "right_id")
-    value = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
-    return both.select("left_id", "right_id", F.round(value, 6).alias("similarity")).filter(F.col("similarity") > least)
-
-
 def similar_terms(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(left_id, right_id, similarity): all pairs of texts (id, text) whose sets of terms have a Jaccard similarity over ``least``.
 
     Terms stand in one order, those rare on the right side first. Two sets that reach ``least`` share a term among the first
     n - ceil(least * n) + 1 of each, and enough terms follow the first one they share. Lists are cut into blocks of ``BLOCK``.
     """
-    a = term_counts(left, "id", "text").select("id", "term")
-    b = term_counts(right, "id", "text").select("id", "term")
+    a, b = (materialise(term_sets(side, "id", "text"), "terms") for side in (left, right))
     often = document_counts(b)
 
     def ordered(sets: DataFrame) -> DataFrame:

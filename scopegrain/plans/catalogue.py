@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from scopegrain.functions import text as T
 from scopegrain.functions import vector as V
 from scopegrain.operators import chunkers, fold, scopes, search, sync, tags
+from scopegrain.shared import materialise
 from scopegrain.sources import files as file_source
 from scopegrain.sources import models
 
@@ -81,9 +82,13 @@ _CHUNKS = f"(SELECT DISTINCT ON (id) id, file_id, vector::DOUBLE[] AS v FROM chu
 _TAGS = f"(SELECT DISTINCT ON (id) id, name, vector::DOUBLE[] AS v FROM tags WHERE {_USABLE})"
 _EDGES = "SELECT DISTINCT anchor_id, tag_a_id AS a, tag_b_id AS b, weight FROM tag_cooccurrence WHERE weight IS NOT NULL AND tag_a_id IS NOT NULL AND tag_b_id IS NOT NULL AND tag_a_id <> tag_b_id"
 _BOTH = f"SELECT anchor_id, a, b, weight FROM ({_EDGES}) UNION ALL SELECT anchor_id, b, a, weight FROM ({_EDGES})"
-_UP = """WITH RECURSIVE r AS (SELECT DISTINCT id, parent_id FROM anchors), up(id, ancestor_id, distance) AS (
+_ROOTS = "SELECT DISTINCT id, path, coalesce(parent_id, nullif(id // 2, 0)) AS parent_id FROM anchors"
+_UP = f"""WITH RECURSIVE r AS ({_ROOTS}), up(id, ancestor_id, distance) AS (
     SELECT c.id, p.id, 1 FROM r c JOIN r p ON c.parent_id = p.id
     UNION ALL SELECT u.id, p.id, u.distance + 1 FROM up u JOIN r c ON u.ancestor_id = c.id JOIN r p ON c.parent_id = p.id)"""
+_MEMBERS = f"""{_UP}, m AS (SELECT 'local' AS scope, id, id AS member_id FROM r UNION SELECT 'bubble', id, id FROM r UNION SELECT 'cascade', id, id FROM r UNION SELECT 'merge', id, id FROM r
+    UNION SELECT 'bubble', id, ancestor_id FROM up WHERE distance = 1 UNION SELECT 'cascade', ancestor_id, id FROM up WHERE distance = 1
+    UNION SELECT 'merge', id, ancestor_id FROM up UNION SELECT 'merge', ancestor_id, id FROM up WHERE distance = 1)"""
 
 
 # vectors
@@ -175,8 +180,8 @@ def label_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sensing_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = usable_chunks(spark, sf_dir).select("id", "vector")
-    return search.sensing(chunks, chunk_queries(spark, sf_dir)).select("query_id", F.round("logic_depth", 5).alias("logic_depth"), "mode")
+    axes = search.main_axes(usable_chunks(spark, sf_dir).select("id", "vector"))
+    return search.sensing(axes, chunk_queries(spark, sf_dir)).select("query_id", F.round("logic_depth", 5).alias("logic_depth"), "mode")
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +193,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boost_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "tags").select("id", "name", "vector").filter(V.usable("vector", 64))
     edges = _edges(spark, sf_dir).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-    asked = search.sensing(usable_chunks(spark, sf_dir).select("id", "vector"), chunk_queries(spark, sf_dir))
+    asked = search.sensing(search.main_axes(usable_chunks(spark, sf_dir).select("id", "vector")), chunk_queries(spark, sf_dir))
     out = search.boost(asked, known, edges)
     return out.select("query_id", F.size("matched").alias("matched"), F.round("beta", 5).alias("beta"), F.round("drift", 5).alias("drift"))
 
@@ -292,32 +297,26 @@ def tag_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH e AS ({_SUMMED}), v AS (SELECT a, b, weight FROM e WHERE weight >= 0.01 AND a <> b UNION ALL SELECT b, a, weight FROM e WHERE weight >= 0.01 AND a <> b),
-    m AS (SELECT b AS tag, max(weight) AS weight FROM v WHERE a = 100 AND b <> 100 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)
+    s AS (SELECT min(a) AS id FROM v WHERE a IN (SELECT id FROM tags)),
+    m AS (SELECT b AS tag, max(weight) AS weight FROM v, s WHERE a = s.id AND b <> s.id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)
     SELECT name, m.weight FROM m JOIN (SELECT DISTINCT id, name FROM tags) t ON t.id = m.tag"""
 )
 def tag_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What occurs together with the first tag that has edges."""
     known = table(spark, sf_dir, "tags").select("id", "name").distinct()
     edges = _edges(spark, sf_dir).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-    name = known.filter("id = 100").first()
-    return tags.inspect_tag(known, edges, name.name if name else "")
+    linked = tags.both_ways(edges.filter("weight >= 0.01"), []).select(F.col("a").alias("id"))
+    first = known.join(linked, "id", "left_semi").orderBy("id").first()
+    return tags.inspect_tag(known, edges, first.name if first else "")
 
 
 @query(
-    f"""WITH l AS (SELECT DISTINCT id, term FROM ({_terms_sql('eval_items', 'item_id', 'text')})), r AS (SELECT DISTINCT id, term FROM ({_terms_sql('documents', 'doc_id', 'text')})),
-    few AS (SELECT term FROM r GROUP BY term HAVING count(*) <= 20), p AS (SELECT DISTINCT l.id AS x, r.id AS y FROM l JOIN r USING (term) JOIN few USING (term)),
+    f"""WITH l AS MATERIALIZED (SELECT DISTINCT id, term FROM ({_terms_sql('eval_items', 'item_id', 'text')})), r AS MATERIALIZED (SELECT DISTINCT id, term FROM ({_terms_sql('documents', 'doc_id', 'text')})),
     nl AS (SELECT id, count(*) AS n FROM l GROUP BY id), nr AS (SELECT id, count(*) AS n FROM r GROUP BY id),
-    o AS (SELECT p.x, p.y, count(*) AS n FROM p JOIN l ON l.id = p.x JOIN r ON r.id = p.y AND r.term = l.term GROUP BY 1, 2)
+    o AS (SELECT l.id AS x, r.id AS y, count(*) AS n FROM l JOIN r USING (term) GROUP BY 1, 2)
     SELECT o.x AS left_id, o.y AS right_id, round(o.n / (nl.n + nr.n - o.n), 6) AS similarity FROM o JOIN nl ON nl.id = o.x JOIN nr ON nr.id = o.y WHERE round(o.n / (nl.n + nr.n - o.n), 6) > 0.2"""
 )
 def jaccard_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("id"), "text")
-    right = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return tags.shared_terms(left, right, 0.2, 20)
-
-
-@query()
-def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As jaccard_candidates, but over all pairs: no term is too frequent."""
     left = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("id"), "text")
     right = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return tags.similar_terms(left, right, 0.2)
@@ -380,7 +379,7 @@ def prefixed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", scopes.prefixed("path", "source").alias("full_path"))
 
 
-@query("SELECT id, path, NOT regexp_matches(path, '(^|[/\\\\])\\.\\.([/\\\\]|$)') AS safe FROM (SELECT DISTINCT id, path FROM files)")
+@query("SELECT id, path, NOT (contains(path, '..') AND NOT starts_with(path, '/')) AS safe FROM (SELECT DISTINCT id, path FROM files)")
 def safe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "files").select("id", "path").distinct().withColumn("safe", T.safe_relative("path"))
 
@@ -416,19 +415,21 @@ def local_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 # scopes
 
 
+def roots_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roots as a tree at every size of the tables: one without a parent hangs below the root of half its number."""
+    parent = F.coalesce("parent_id", F.nullif(F.expr("id div 2"), F.lit(0)))
+    return table(spark, sf_dir, "anchors").select("id", "path", parent.alias("parent_id")).distinct()
+
+
 @query(f"{_UP} SELECT id, ancestor_id, distance FROM up")
 def scope_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scopes.ancestors(spark, table(spark, sf_dir, "anchors"))
+    return scopes.ancestors(roots_of(spark, sf_dir))
 
 
-@query(
-    f"""{_UP} SELECT 'local' AS scope, id, id AS member_id FROM r UNION SELECT 'bubble', id, id FROM r UNION SELECT 'cascade', id, id FROM r UNION SELECT 'merge', id, id FROM r
-    UNION SELECT 'bubble', id, ancestor_id FROM up WHERE distance = 1 UNION SELECT 'cascade', ancestor_id, id FROM up WHERE distance = 1
-    UNION SELECT 'merge', id, ancestor_id FROM up UNION SELECT 'merge', ancestor_id, id FROM up WHERE distance = 1"""
-)
+@query(f"{_MEMBERS} SELECT scope, id, member_id FROM m")
 def scope_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = table(spark, sf_dir, "anchors")
-    up = scopes.ancestors(spark, roots)
+    roots = roots_of(spark, sf_dir)
+    up = scopes.ancestors(roots)
     parts = [scopes.members(roots, up, s).select(F.lit(s).alias("scope"), "id", "member_id") for s in ("local", "bubble", "cascade", "merge")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
@@ -448,27 +449,33 @@ def nearest_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT b.id, coalesce(sum(o.files), 0)::BIGINT AS files, coalesce(sum(o.chunks), 0)::BIGINT AS chunks FROM b LEFT JOIN o ON o.id = b.m GROUP BY 1"""
 )
 def tree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = table(spark, sf_dir, "anchors")
+    roots = roots_of(spark, sf_dir)
     files = table(spark, sf_dir, "files").select(F.col("id").alias("file_id"), "anchor_id").distinct().filter("anchor_id is not null")
     chunks = table(spark, sf_dir, "chunks").select("id", "file_id").distinct().groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
     own = files.join(chunks, "file_id", "left").groupBy(F.col("anchor_id").alias("id")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.coalesce("n", F.lit(0))).alias("chunks"))
-    return scopes.subtree_totals(roots, scopes.ancestors(spark, roots), own, ["files", "chunks"])
+    return scopes.subtree_totals(roots, scopes.ancestors(roots), own, ["files", "chunks"])
 
 
 @query(
-    f"""WITH h AS (SELECT q.id AS query_id, c.id, c.file_id, round(greatest(0, list_cosine_similarity(c.v, q.v)), 6) AS score FROM {_CHUNKS} c, {_TAGS} q WHERE q.id % 100 = 0),
-    t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM h) WHERE r <= 30 AND score >= 0.25),
-    j AS (SELECT query_id, t.id, f.path, s.start_line, floor(score * 1000 + 0.5) / 1000 AS similarity FROM t JOIN (SELECT DISTINCT id, path FROM files) f ON f.id = t.file_id JOIN (SELECT DISTINCT id, start_line FROM chunks) s ON s.id = t.id),
-    d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path, start_line ORDER BY similarity DESC, id) AS rn FROM j) WHERE rn = 1)
-    SELECT query_id, id, path, start_line, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, path, start_line NULLS FIRST, id)::INT AS rank FROM d) WHERE rank <= 10"""
+    f"""{_MEMBERS}, f AS (SELECT DISTINCT id, path, anchor_id AS g FROM files), c AS (SELECT c.id, c.v, f.path, f.g, s.start_line FROM {_CHUNKS} c JOIN f ON f.id = c.file_id JOIN (SELECT DISTINCT ON (id) id, start_line FROM chunks) s ON s.id = c.id WHERE f.g IS NOT NULL),
+    h AS (SELECT m.scope, q.id AS query_id, c.g, c.id, c.path, c.start_line, round(greatest(0, list_cosine_similarity(c.v, q.v)), 6) AS score FROM c q JOIN m ON m.id = q.g JOIN c ON c.g = m.member_id WHERE q.id % 100 = 0),
+    t AS (SELECT scope, query_id, id, path, start_line, floor(score * 1000 + 0.5) / 1000 AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY scope, query_id, g ORDER BY score DESC, id) AS rn FROM h WHERE score >= 0.25) WHERE rn <= 10),
+    d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope, query_id, path, start_line ORDER BY similarity DESC, id) AS rn FROM t) WHERE rn = 1)
+    SELECT scope, query_id, id, path, start_line, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY scope, query_id ORDER BY similarity DESC, path, start_line NULLS FIRST, id)::INT AS rank FROM d) WHERE rank <= 10"""
 )
-def scoped_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = usable_chunks(spark, sf_dir)
-    asked = table(spark, sf_dir, "tags").filter(V.usable("vector", 64) & (F.col("id") % 100 == 0)).select(F.col("id").alias("query_id"), "vector").dropDuplicates(["query_id"])
-    hits = search.nearest_batch(chunks.select("id", "vector"), asked, 30).filter("score >= 0.25").drop("rank")
-    names = table(spark, sf_dir, "files").select(F.col("id").alias("file_id"), "path").distinct()
-    placed = hits.join(chunks.select("id", "file_id", "start_line").distinct(), "id").join(names, "file_id").withColumn("similarity", T.round3("score"))
-    return scopes.merged_hits(placed.select("query_id", "id", "path", "start_line", "similarity"), 10)
+def scoped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query chunk searched from its own root, in each of the four scopes."""
+    files = table(spark, sf_dir, "files").select(F.col("id").alias("file_id"), "path", F.col("anchor_id").alias("group")).distinct().filter("anchor_id is not null")
+    chunks = usable_chunks(spark, sf_dir).select("id", "file_id", "start_line", "vector").join(files, "file_id")
+    asked = chunks.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("group").alias("root_id"), "vector").dropDuplicates(["query_id"])
+    roots = roots_of(spark, sf_dir)
+    up = scopes.ancestors(roots)
+    out = None
+    for scope in ("local", "bubble", "cascade", "merge"):
+        hits = search.scoped_search(chunks.select("id", "vector", "group"), chunks.select("id", "path", "start_line"), asked, scopes.members(roots, up, scope))
+        named = hits.select(F.lit(scope).alias("scope"), "query_id", "id", "path", "start_line", "similarity", "rank")
+        out = named if out is None else out.unionByName(named)
+    return out
 
 
 # folding
@@ -631,16 +638,10 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT anchor_id, file_id, tag_id, hour, n FROM (SELECT f.anchor_id, t.file_id, t.tag_id, date_trunc('hour', t.tagged_at) AS hour, count(*) AS n
-    FROM (SELECT DISTINCT * FROM file_tags) t JOIN (SELECT DISTINCT id, anchor_id FROM files) f ON f.id = t.file_id WHERE t.tag_id % 100 = 0 GROUP BY ALL)"""
+    """SELECT f.anchor_id, t.file_id, t.tag_id, date_trunc('hour', t.tagged_at) AS hour, count(*) AS n
+    FROM (SELECT DISTINCT * FROM file_tags) t JOIN (SELECT DISTINCT id, anchor_id FROM files) f ON f.id = t.file_id GROUP BY ALL"""
 )
 def tag_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An extension: how often every hundredth tag arrives at files, by the hour; ``tag_arrivals_all`` counts all tags."""
-    return tag_arrivals_all(spark, sf_dir).filter("tag_id % 100 = 0")
-
-
-@query()
-def tag_arrivals_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: how often tags arrive at files, by the hour."""
     files = table(spark, sf_dir, "files").select(F.col("id").alias("file_id"), "anchor_id").distinct()
     own = table(spark, sf_dir, "file_tags").distinct().join(files, "file_id")

@@ -65,7 +65,7 @@ def test_changes_and_numbering(spark):
 
 def test_scopes(spark):
     roots = spark.createDataFrame([(1, "r", None), (2, "r/a", 1), (3, "r/a/b", 2), (4, "x", 99)], "id bigint, path string, parent_id bigint")
-    up = scopes.ancestors(spark, roots)
+    up = scopes.ancestors(roots)
     assert {(r.id, r.ancestor_id) for r in up.collect()} == {(2, 1), (3, 2), (3, 1)}
     merge = {(r.id, r.member_id) for r in scopes.members(roots, up, "merge").collect()}
     assert {(3, 1), (3, 2), (2, 3), (1, 2)} <= merge and (1, 3) not in merge

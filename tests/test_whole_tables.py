@@ -6,7 +6,9 @@ from datetime import datetime
 import numpy as np
 import pytest
 
-from scopegrain.operators import scopes, tags
+from pyspark.sql import functions as F
+
+from scopegrain.operators import scopes, search, sync, tags
 from scopegrain.plans import catalogue
 
 
@@ -17,7 +19,7 @@ def test_arrivals_of_all_tags_are_counted(spark, tmp_path):
     spark.createDataFrame(files, "id bigint, anchor_id bigint").write.parquet(f"{tmp_path}/files.parquet")
     spark.createDataFrame(tagged + tagged[:5], "file_id bigint, tag_id bigint, tagged_at timestamp_ntz").write.parquet(f"{tmp_path}/file_tags.parquet")
     want = Counter((dict(files)[f], f, t, when.replace(minute=0)) for f, t, when in tagged if f in dict(files))
-    rows = catalogue.queries()["tag_arrivals_all"](spark, str(tmp_path)).collect()
+    rows = catalogue.queries()["tag_arrivals"](spark, str(tmp_path)).collect()
     assert {(r.anchor_id, r.file_id, r.tag_id, r.hour): r.n for r in rows} == want and len(rows) == len(want)
 
 
@@ -38,7 +40,37 @@ def test_similar_texts_with_frequent_terms_are_found(spark, monkeypatch, block):
 def test_ancestors_of_a_deep_tree_and_of_a_cycle(spark):
     deep = [(i, i - 1 if i else None) for i in range(70)]
     ring = [(500, 501), (501, 502), (502, 500), (503, 500), (600, 600)]
-    got = sorted(tuple(r) for r in scopes.ancestors(spark, spark.createDataFrame(deep + ring, "id bigint, parent_id bigint")).collect())
+    got = sorted(tuple(r) for r in scopes.ancestors(spark.createDataFrame(deep + ring, "id bigint, parent_id bigint")).collect())
     want = [(i, j, i - j) for i in range(70) for j in range(i)]
     around = [(500, 501, 1), (500, 502, 2), (501, 502, 1), (501, 500, 2), (502, 500, 1), (502, 501, 2), (503, 500, 1), (503, 501, 2), (503, 502, 3)]
     assert got == sorted(want + around)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ids_and_samples_of_more_rows_than_the_range_sampler_takes(spark, adaptive):
+    n = 1_200_000
+    rows = spark.range(0, n, 1, 12).select((F.hash("id").cast("bigint") * 4 + F.col("id") % 4).alias("a"), F.col("id"))
+    hot = rows.withColumn("a", F.when(F.col("id") % 3 == 0, F.lit(7).cast("bigint")).otherwise(F.col("a")))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        out = sync.numbered(hot.withColumnRenamed("id", "own"), ["a"], 5)
+        got = out.select("id", "a").toArrow()
+        at, value = got.column("id").to_numpy(), got.column("a").to_numpy()
+        assert (np.sort(at) == np.arange(6, n + 6)).all() and (np.diff(value[np.argsort(at)]) >= 0).all()
+        sample = search.systematic_sample(rows.select(F.col("a").alias("id")), 30)
+        ids = np.unique(rows.select("a").toArrow().column("a").to_numpy()).tolist()
+        step = len(ids) // 30
+        assert sorted(r.id for r in sample.collect()) == ids[::step][:30]
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_ties_send_no_more_than_k_rows_a_batch(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(500)] + [(i, [1.0, 2.0]) for i in range(50)]
+    frame = spark.createDataFrame(rows, "id bigint, vector array<double>")
+    asked = spark.createDataFrame([(9, [2.0, 4.0])], "query_id bigint, vector array<double>")
+    assert sorted(r.id for r in search.nearest_batch(frame, asked, 5).collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r.id for r in search.nearest(frame, [2.0, 4.0], 5).collect()) == [0, 1, 2, 3, 4]
