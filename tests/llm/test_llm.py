@@ -206,11 +206,48 @@ def test_line_labels_separate_prose(spark):
     assert all(shares[i].units == 0 and shares[i].prose is None for i in (5000, 5001, 5002))
 
 
+def test_the_chain_decides_doubtful_lines(spark):
+    doubtful = "Alpha beta gamma"
+    prose = (PROSE.strip() + "\n") * 1
+    inside = [f"{PROSE}\nIn the end it is for them, and we see what of it was there at {i}.\n{doubtful}\nThere was a reason for it, which is what you asked about {i}." for i in range(60)]
+    lists = ["\n".join([f"- {w} {v}" for w, v in zip("abcdefgh", "stuvwxyz")] + [doubtful] + [f"- {v} {w} item" for w, v in zip("abcdefgh", "stuvwxyz")]) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(inside + lists + [prose, "x", "\u2028.", None])), "doc_id bigint, text string")
+    lines = quality.observations(frame, "doc_id", "text")
+    model = quality.fit(lines)
+    parts = [quality._read(b) for b in lines.orderBy("doc_id").toArrow().to_batches()]
+    observed, lengths = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    path, alone = quality.best_path(model, observed, lengths), quality.likelihoods(model, observed).argmax(axis=1)
+    assert (path != alone).any()
+    shown = {r.doc_id: r.labels for r in quality.label_shares(frame).collect()}
+    assert set(shown[0]) == {"p"} and set(shown[60]) == {"l"} and shown[123] == "" and len(shown[0]) == lengths[0]
+
+
+def test_batched_path_and_posterior_equal_single_documents():
+    rng = np.random.default_rng(2)
+    lengths = np.array([3, 0, 7, 1, 12])
+    observed = np.stack([rng.integers(0, k, size=lengths.sum()) for k in quality.SIZES.values()], axis=1)
+    model = quality.model_of(rng.uniform(0, 9, size=20 + 4 * int(quality.EDGES[-1])))
+    path, (gamma, _) = quality.best_path(model, observed, lengths), quality.posterior(model, observed, lengths)
+    ends = np.cumsum(lengths)
+    ll = quality.likelihoods(model, observed)
+    for begin, end in zip(ends - lengths, ends, strict=True):
+        own, n = ll[begin:end], end - begin
+        every = np.array(np.meshgrid(*[range(4)] * n, indexing="ij")).reshape(n, -1).T if 0 < n <= 7 else None
+        if every is None:
+            continue
+        score = model.start[every[:, 0]] + own[np.arange(n), every].sum(axis=1) + model.move[every[:, :-1], every[:, 1:]].sum(axis=1)
+        assert path[begin:end].tolist() == every[score.argmax()].tolist()
+        weight = np.exp(score - score.max())
+        want = np.array([[weight[every[:, i] == s].sum() for s in range(4)] for i in range(n)]) / weight.sum()
+        assert np.allclose(gamma[begin:end], want)
+
+
 def test_text_statistics(spark):
-    frame = spark.createDataFrame([(1, "The cat sat.\nno end\n\n!!"), (2, None), (3, "")], "doc_id bigint, text string")
+    frame = spark.createDataFrame([(1, "The cat sat.\nno end\n\n!!"), (2, None), (3, ""), (4, "the end")], "doc_id bigint, text string")
     row = {r.doc_id: r for r in quality.text_statistics(frame).collect()}
-    assert row[1].words == 5 and row[1].end_punctuation_share == pytest.approx(2 / 3, abs=1e-6) and row[1].common_word_share == 0.4 - 0.2
+    assert row[1].words == 5 and row[1].end_punctuation_share == pytest.approx(2 / 3, abs=1e-6) and row[1].common_word_share == 1.0
     assert row[2].words == row[3].words == 0 and row[2].mean_word_length is None
+    assert quality.frequent_words(frame, most=2) == ["end", "the"]
 
 
 def test_giveaways_and_features():
