@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_classes": neardup.p3_classes,
         "p3_pairs": neardup.p3_pairs,
         "p4_found": handwritten.p4_found,
+        "p4_validation": handwritten.p4_validation,
         "p5_found": split.p5_found,
         "p6_ids": bpe.p6_ids,
         "p7_found": leakage.p7_found,
