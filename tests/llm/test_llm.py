@@ -80,11 +80,27 @@ def test_baskets_equal_brute_force_in_any_blocking(spark):
     columns = [np.array(c, np.int64) for c in zip(*order, strict=True)]
     for records, items in ((1, 2), (7, 5), (64, 1024)):
         seen = Counter()
-        for g, a, b, n in zip(*together.gram_counts(*columns, records, items), strict=True):
-            seen[g, a, b] += n
+        for part in together.gram_counts(*columns, records, items):
+            for g, a, b, n in zip(*part, strict=True):
+                seen[g, a, b] += n
         assert {k: v for k, v in seen.items() if k[1] != k[2]} == dict(want)
 
 
+@pytest.mark.parametrize(("large", "dense", "step"), [(5, 600, 1 << 21), (8_192, 0, 7), (8_192, 1e9, 7)])
+def test_large_baskets_and_both_products_give_the_same_counts(spark, monkeypatch, large, dense, step):
+    for name, value in (("LARGE", large), ("DENSE", dense), ("STEP", step), ("ITEMS", 3), ("RECORDS", 9)):
+        monkeypatch.setattr(together, name, value)
+    rng = np.random.default_rng(8)
+    rows = sorted({(g, b, int(i)) for g in range(2) for b in range(20) for i in rng.integers(0, 30, size=rng.choice([2, 4, 25]))})
+    want = Counter()
+    for g, b in {r[:2] for r in rows}:
+        want.update((g, *p) for p in combinations([i for x, y, i in rows if (x, y) == (g, b)], 2))
+    got = together.appear_together(spark.createDataFrame(rows + rows[:20], "grp bigint, basket bigint, item bigint")).collect()
+    assert {(r.grp, r.item_a, r.item_b): r.n_ab for r in got} == dict(want)
+    own = Counter((g, i) for g, _, i in rows)
+    assert all(r.n_a == own[r.grp, r.item_a] and r.n_b == own[r.grp, r.item_b] and r.n == 20 for r in got)
+
+
 def test_stored_edges_are_compared(spark):
     pairs = spark.createDataFrame([(1, 1, 2, 5), (1, 1, 3, 5), (1, 2, 3, 5)], "grp bigint, item_a bigint, item_b bigint, n_ab bigint")
     edges = spark.createDataFrame([(1, 2, 1, 3.0, 1), (1, 1, 2, 2.0, 2), (1, 1, 2, 2.0, 2), (1, 1, 3, None, 1), (1, None, 3, 5.0, 1)], "grp bigint, item_a bigint, item_b bigint, weight double, at int")
@@ -135,6 +151,16 @@ def test_long_lists_are_cut_into_blocks_without_loss(spark, monkeypatch):
     assert got == {(i, j) for i, j in combinations(sorted(sets), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
 
 
+@pytest.mark.parametrize("copies", [3, 2_048])
+def test_pairs_of_large_classes_are_expanded_in_cells(spark, monkeypatch, copies):
+    monkeypatch.setattr(neardup, "COPIES", copies)
+    members = [(i, i % 3 if i < 24 else 9) for i in range(27)] + [(100, 50)]
+    got = sorted(tuple(r) for r in neardup.expand(spark.createDataFrame([(0, 1), (2, 50)], "a bigint, b bigint"), spark.createDataFrame(members, "id bigint, key bigint")).collect())
+    near = {(0, 1), (2, 50)}
+    want = [(i, j) for (i, a), (j, b) in combinations(members, 2) if a == b or (min(a, b), max(a, b)) in near]
+    assert got == sorted(want)
+
+
 def test_token_hashes_follow_the_definition():
     texts = ["Aa_b aa-B 12", None, "", "ÉK xİy", "a" * 3000]
     found, owner = token_hashes(texts, underscore=True)
