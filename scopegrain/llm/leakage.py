@@ -2,12 +2,14 @@
 
 The patterns are all runs of ``run`` words of the test items. A shift table over hashed blocks of ``WIDTH`` words says how far
 a window may move without missing a pattern; where it says 0, the block's bucket gives the patterns that end in it, a prefix
-hash selects among them, and a comparison of the whole run confirms the occurrence. The windows of all texts of a slice move
-together, one vectorised step each. Long texts are cut into overlapping stretches, so that no text delays the others.
+hash selects among them, a comparison of the whole run's hashes follows, and the words themselves confirm the occurrence. The
+windows of all texts of a slice move together, one vectorised step each, and only blocks at which a window stands are hashed
+and looked up. Long texts are cut into overlapping stretches, so that no text delays the others.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +24,9 @@ from scopegrain.llm.common import mix64, slices, token_hashes
 WIDTH, STRETCH, PATTERN_WORDS = 2, 512, 2_000_000
 
 
+WORD = re.compile("[a-z0-9]+")
+
+
 @dataclass(frozen=True)
 class Searcher:
     """Shift and bucket tables for patterns of ``run`` words; ``words`` holds the test items' words end to end."""
@@ -35,21 +40,23 @@ class Searcher:
     shifts: np.ndarray
     suffixes: np.ndarray
     order: np.ndarray
+    plain: list[str]
 
 
-def block_hash(words: np.ndarray) -> np.ndarray:
-    """Hash of the ``WIDTH`` words that end at each position from WIDTH-1 on."""
-    out = words[: len(words) - WIDTH + 1].copy()
+def block_at(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of the ``WIDTH`` words from each of the positions on."""
+    out = words[at]
     for i in range(1, WIDTH):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - WIDTH + 1 + i])
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + words[at + i])
     return out
 
 
-def build(words: np.ndarray, owner: np.ndarray, items: np.ndarray, run: int) -> Searcher:
-    """Tables for all runs of ``run`` words within one item; ``owner`` is each word's item, as an index of ``items``."""
+def build(words: np.ndarray, owner: np.ndarray, items: np.ndarray, run: int, plain: list[str]) -> Searcher:
+    """Tables for all runs of ``run`` words within one item; ``owner`` is each word's item, as an index of
+    ``items``, ``plain`` the words themselves."""
     n = len(words) - run + 1
     begin = np.flatnonzero(owner[:n] == owner[run - 1 :]) if n > 0 else np.empty(0, np.int64)
-    hashed = block_hash(words) if len(words) >= WIDTH else np.empty(0, np.uint64)
+    hashed = block_at(words, np.arange(len(words) - WIDTH + 1)) if len(words) >= WIDTH else np.empty(0, np.uint64)
     keys, shifts = [], []
     for end in range(WIDTH, run + 1):
         keys.append(hashed[begin + end - WIDTH] if len(begin) else np.empty(0, np.uint64))
@@ -59,42 +66,53 @@ def build(words: np.ndarray, owner: np.ndarray, items: np.ndarray, run: int) ->
     blocks, first = np.unique(key[order], return_index=True)
     suffix = keys[-1]
     by = np.argsort(suffix, kind="stable")
-    return Searcher(run, words, begin, items[owner[begin]] if len(begin) else np.empty(0, np.int64), hashed[begin] if len(begin) else suffix, blocks, shift[order][first], suffix[by], by)
+    return Searcher(run, words, begin, items[owner[begin]] if len(begin) else np.empty(0, np.int64), hashed[begin] if len(begin) else suffix, blocks, shift[order][first], suffix[by], by, plain)
 
 
-def search(s: Searcher, words: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(stretch, item) of every confirmed occurrence in the stretches words[first:last]."""
-    if not len(s.blocks) or len(words) < s.run:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    hashed = block_hash(words)
-    found = np.minimum(np.searchsorted(s.blocks, hashed), len(s.blocks) - 1)
-    step = np.where(s.blocks[found] == hashed, s.shifts[found], s.run - WIDTH + 1)
+def search(s: Searcher, words: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, pattern, position) of every occurrence, by hashes, in the stretches words[first:last]."""
     at, who = first.copy(), np.arange(len(first))
-    hits: list[tuple[np.ndarray, np.ndarray]] = []
-    while True:
+    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(s.blocks):
         live = at + s.run <= last
         at, who, last = at[live], who[live], last[live]
         if not len(at):
             break
-        shift = step[at + s.run - WIDTH]
+        key = block_at(words, at + s.run - WIDTH)
+        found = np.minimum(np.searchsorted(s.blocks, key), len(s.blocks) - 1)
+        shift = np.where(s.blocks[found] == key, s.shifts[found], s.run - WIDTH + 1)
         stop = np.flatnonzero(shift == 0)
         if len(stop):
-            key = hashed[at[stop] + s.run - WIDTH]
-            low, high = np.searchsorted(s.suffixes, key, "left"), np.searchsorted(s.suffixes, key, "right")
+            low, high = np.searchsorted(s.suffixes, key[stop], "left"), np.searchsorted(s.suffixes, key[stop], "right")
             times = high - low
             place = np.repeat(stop, times)
             nth = np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
             pattern = s.order[np.repeat(low, times) + nth]
-            same = s.prefix[pattern] == hashed[at[place]]
+            same = s.prefix[pattern] == block_at(words, at[stop])[np.repeat(np.arange(len(stop)), times)]
             place, pattern = place[same], pattern[same]
             whole = np.arange(s.run)
             equal = (words[at[place][:, None] + whole] == s.words[s.begin[pattern][:, None] + whole]).all(axis=1)
             if equal.any():
-                hits.append((who[place[equal]], s.item[pattern[equal]]))
+                hits.append((who[place[equal]], pattern[equal], at[place[equal]]))
         at = at + np.maximum(shift, 1)
     if not hits:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
+        return (np.empty(0, np.int64),) * 3
+    return tuple(np.concatenate(h) for h in zip(*hits, strict=True))
+
+
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
+def confirmed(s: Searcher, texts: list[str], text: np.ndarray, pattern: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which occurrences hold word for word: ``place`` is a word's number in the text ``text``."""
+    out, now, own = np.zeros(len(text), bool), -1, []
+    for i in np.argsort(text, kind="stable"):
+        if text[i] != now:
+            now, own = int(text[i]), words_of(texts[int(text[i])])
+        begin = int(s.begin[pattern[i]])
+        out[i] = own[place[i] : place[i] + s.run] == s.plain[begin : begin + s.run]
+    return out
 
 
 def leaked(documents: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
@@ -113,7 +131,8 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
     for block in range(passes if size else 0):
         rows = asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == block).orderBy("item_id").collect()
         words, owner = token_hashes([r.text for r in rows], underscore=False)
-        tables = spark.sparkContext.broadcast(vars(build(words, owner, np.array([r.item_id for r in rows], np.int64), run)))
+        plain = [w for r in rows for w in words_of(r.text)]
+        tables = spark.sparkContext.broadcast(vars(build(words, owner, np.array([r.item_id for r in rows], np.int64), run, plain)))
 
         def scan(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
             s = Searcher(**tables.value)
@@ -128,9 +147,11 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
                     nth = np.arange(len(who)) - np.repeat(np.cumsum(parts) - parts, parts)
                     first = start[who] + nth * STRETCH
                     last = np.minimum(first + STRETCH + s.run - 1, (start + count)[who])
-                    stretch, item = search(s, words, first, last)
+                    stretch, pattern, at = search(s, words, first, last)
                     if len(stretch):
-                        pair = np.unique(np.stack([ids[begin:end][who[stretch]], item]), axis=1)
+                        text = who[stretch]
+                        real = confirmed(s, texts[begin:end], text, pattern, at - start[text])
+                        pair = np.unique(np.stack([ids[begin:end][text[real]], s.item[pattern[real]]]), axis=1)
                         yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["doc_id", "item_id"])
 
         found = corpus.mapInArrow(scan, "doc_id bigint, item_id bigint")
