@@ -27,6 +27,8 @@ from scopegrain.shared import materialise
 
 #: Counters in each of the count-min table's two rows, counters shipped in one row, and the longest uncut inverted list.
 SLOTS, PIECE, BLOCK = 1 << 20, 4_096, 4_096
+#: Members of a class that one cell of its pairs takes from either side, and parts into which members are spread to be placed.
+COPIES, SALTS = 2_048, 32
 #: Bits of a shingle's hash; pairs of records are compared by these.
 BITS = 48
 
@@ -267,11 +269,24 @@ def near_duplicate_texts(df: DataFrame, id_col: str, text_col: str, least: float
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(one, two), one < two: pairs of ids from pairs (a, b) of classes and their membership (id, key), own class included."""
-    own = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("a"), F.col("key").alias("b"))
-    left = members.select(F.col("key").alias("a"), F.col("id").alias("x"))
-    right = members.select(F.col("key").alias("b"), F.col("id").alias("y"))
-    joined = pairs.select("a", "b").unionByName(own).join(left, "a").join(right, "b").filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    """(one, two), one < two: pairs of ids from pairs (a, b) of classes and their membership (id, key), own class included.
+
+    A class of more than ``COPIES`` members is cut into parts, and each pair of parts is a cell of its own, so that the pairs
+    of a large class go to as many tasks. Members learn their part through salted keys, so that none of them gather before.
+    """
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    own = sizes.filter("n > 1").select(F.col("key").alias("a"), F.col("key").alias("b"))
+    large = sizes.filter(F.col("n") > COPIES).select("key", F.ceil(F.col("n") / COPIES).alias("parts"))
+    salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = members.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(salted, ["key", "salt"], "left")
+    placed = placed.select("id", "key", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).alias("part"))
+    cells = pairs.select("a", "b").unionByName(own)
+    for side in ("a", "b"):
+        part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1)).alias(f"part_{side}")
+        cells = cells.join(large.withColumnRenamed("key", side), side, "left").select(*cells.columns, part)
+    left = placed.select(F.col("key").alias("a"), F.col("part").alias("part_a"), F.col("id").alias("x"))
+    right = placed.select(F.col("key").alias("b"), F.col("part").alias("part_b"), F.col("id").alias("y"))
+    joined = cells.join(left, ["a", "part_a"]).join(right, ["b", "part_b"]).filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
     return joined.select(F.least("x", "y").alias("one"), F.greatest("x", "y").alias("two")).filter("one < two")
 
 
