@@ -8,7 +8,8 @@ spot, and each vector's k best of a block leave it; else one byte an element dro
 
 Equal vectors are one row of the index, so that a group of copies of any size costs no more than one vector. A cell beyond
 ``BLOCK`` vectors is cut into blocks. Nothing that grows with the data is collected or broadcast: codebooks are fitted on at
-most ``SAMPLE`` vectors, and the cells' sizes (at most 16,384 numbers) come to the driver.
+most ``SAMPLE`` vectors, and only the sizes of cells beyond half of ``BLOCK``
+come to the driver (no more than the vectors over 4,096).
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from scopegrain.shared import materialise
 SAMPLE = 16_384
 #: Codewords of a refining codebook, refining codebooks, paths kept by the beam search, cells a query probes.
 WORDS, LEVELS, BEAM, PROBES = 64, 6, 4, 8
+#: Bits of the largest of the two codebooks that name cells, so that 2^24 cells of ``CELL`` vectors are 4 billion vectors.
+COARSE = 12
 #: Mean number of vectors that a cell should hold, and the most that one task holds at once.
 CELL, BLOCK = 256, 8_192
 #: Standard deviations of the score's error that a candidate may lie under the threshold.
@@ -76,7 +79,7 @@ def k_means(rows: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndar
 def fit_codebooks(sample: np.ndarray, total: int) -> Codebooks:
     """Residual codebooks from unit vectors; the number of cells follows ``total``, the size of the collection."""
     width = sample.shape[1]
-    coarse = 1 << max(0, min(7, floor(log2(max(1.0, sqrt(total / CELL))))))
+    coarse = 1 << max(0, min(COARSE, floor(log2(max(1.0, sqrt(total / CELL))))))
     rest, levels = sample.astype(np.float32), []
     for level in range(2 + LEVELS):
         words = k_means(rest, coarse if level < 2 else WORDS, seed=level)
