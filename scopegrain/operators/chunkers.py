@@ -1,22 +1,25 @@
-"""Chunkers: plain text, Markdown and Python source, and their choice by file ending.
+"""Chunkers: plain text, Markdown and source files, and their choice by file ending.
 
 A document becomes its chunks in one Arrow pass where it lies. Sizes are in UTF-16 units, as the stored limits mean them.
+All chunkers cut with ``spans``: the pieces of a text are laid end to end, and a chunk is a stretch of that text.
 """
 
 from __future__ import annotations
 
-import ast
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Endings of Markdown, and of source files that have a structure chunker where a parser is at hand.
+from scopegrain.operators import structure
+
+#: Endings of Markdown.
 MARKDOWN = (".md", ".mdx", ".markdown")
-SOURCE = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".py", ".rs", ".go", ".java", ".c", ".h", ".cpp", ".cc", ".hpp", ".rb", ".php", ".cs", ".swift", ".kt", ".lua", ".zig")
 HEADING = re.compile(r"^(#{1,6})\s+(.+)$")
 #: Imports that head every chunk of a source file, at most.
 IMPORTS = 5
@@ -35,56 +38,63 @@ def width(text: str) -> int:
     return len(text) + sum(c > "\uffff" for c in text)
 
 
-def tail(text: str, units: int) -> str:
-    """The last ``units`` UTF-16 units; half a character is left out. No units give the empty string."""
-    held, at = 0, len(text)
-    while at and held + width(text[at - 1]) <= units:
-        at -= 1
-        held += width(text[at])
-    return text[at:]
+@dataclass(frozen=True)
+class Span:
+    """A stretch of the joined pieces: its text, what of it the stretch before had too, and the new pieces [first, after)."""
+
+    text: str
+    again: str
+    first: int
+    after: int
+
+
+def spans(pieces: list[str], joint: str, limit: int, overlap: int) -> list[Span]:
+    """Stretches of ``pieces`` joined by ``joint``, each ending with a whole piece and as long as ``limit`` allows.
+
+    A stretch begins ``overlap`` units before the end of the one before, though not before that one's begin, and takes at least
+    one new piece, however long. Empty pieces at the very start are no part of any stretch.
+    """
+    raw = joint.join(pieces).encode("utf-16-le", "surrogatepass")
+    ends = [e - width(joint) for e in accumulate(width(p) + width(joint) for p in pieces)]
+    text_of = lambda a, b: raw[2 * a : 2 * b].decode("utf-16-le", "surrogatepass")
+    first = next((i for i, p in enumerate(pieces) if p), len(pieces))
+    begin = ends[first] - width(pieces[first]) if first < len(pieces) else 0
+    shared, out = begin, []
+    while first < len(pieces):
+        after = max(first + 1, bisect_right(ends, begin + limit))
+        out.append(Span(text_of(begin, ends[after - 1]), text_of(begin, shared), first, after))
+        shared = ends[after - 1]
+        begin = max(begin, shared - overlap)
+        # No stretch begins with half a character.
+        begin += begin < shared and 0xDC <= raw[2 * begin + 1] <= 0xDF
+        first = after
+    return out
 
 
 def chunk_text(content: str, limit: int = 512, overlap: int = 64) -> list[Chunk]:
     """Whole lines packed up to ``limit``; each further chunk begins with the last ``overlap`` of the one before.
 
     A single longer line stays whole. Blank content gives no chunk. A chunk's end line is the line after its last, but for
-    the final chunk.
+    the final chunk; its start line counts back by the line ends that it repeats.
     """
-    if not content.strip():
-        return []
-    lines, out = content.split("\n"), []
-    held, start, after = "", 1, 1
-    for number, line in enumerate(lines):
-        if held and width(held) + width(line) + 1 > limit:
-            out.append(Chunk(held.strip(), "", start, after))
-            kept = tail(held, overlap)
-            start = max(1, after - len(kept.split("\n")))
-            held = f"{kept}\n{line}"
-        else:
-            held = f"{held}\n{line}" if held else line
-        after = number + 2
-    if held.strip():
-        out.append(Chunk(held.strip(), "", start, len(lines)))
-    return out
+    lines = content.split("\n")
+    found = spans(lines, "\n", limit, overlap) if content.strip() else []
+    start = [1, *(max(1, s.first - s.again.count("\n")) for s in found[1:])]
+    made = [Chunk(s.text.strip(), "", at, s.after + 1) for s, at in zip(found, start, strict=False)]
+    if made and made[-1].content:
+        return [*made[:-1], Chunk(made[-1].content, "", made[-1].start_line, len(lines))]
+    return made[:-1]
 
 
-def pack_paragraphs(text: str, heading: str, start: int, end: int, limit: int, overlap: int) -> list[Chunk]:
+def section(text: str, heading: str, start: int, end: int, limit: int, overlap: int) -> list[Chunk]:
     """A section whole if it fits, else its paragraphs packed with overlap; line numbers do not count blank lines."""
     if width(text) <= limit:
         return [Chunk(text, heading, start, end)]
-    out, held, first, lines = [], "", start, 0
-    for paragraph in re.split(r"\n\n+", text):
-        tall = paragraph.count("\n") + 1
-        if held and width(held) + width(paragraph) + 2 > limit:
-            out.append(Chunk(held.strip(), heading, first, first + lines))
-            held = f"{tail(held, overlap)}\n\n{paragraph}"
-            first, lines = first + lines, tall
-        else:
-            held = f"{held}\n\n{paragraph}" if held else paragraph
-            lines += tall
-    if held.strip():
-        out.append(Chunk(held.strip(), heading, first, end))
-    return out
+    paragraphs = re.split(r"\n\n+", text)
+    line = [start, *accumulate((p.count("\n") + 1 for p in paragraphs), initial=start)][1:]
+    found = spans(paragraphs, "\n\n", limit, overlap)
+    made = [Chunk(s.text.strip(), heading, line[s.first], end if s.after == len(paragraphs) else line[s.after]) for s in found]
+    return made if made[-1].content else made[:-1]
 
 
 def chunk_markdown(content: str, limit: int = 512, overlap: int = 64) -> list[Chunk]:
@@ -99,7 +109,7 @@ def chunk_markdown(content: str, limit: int = 512, overlap: int = 64) -> list[Ch
     def close(end: int) -> None:
         text = "\n".join(lines[opened:end]).strip()
         if text:
-            out.extend(pack_paragraphs(text, " > ".join(name for _, name in path), opened + 1, end, limit, overlap))
+            out.extend(section(text, " > ".join(name for _, name in path), opened + 1, end, limit, overlap))
 
     for number, line in enumerate(lines):
         found = HEADING.match(line)
@@ -112,60 +122,44 @@ def chunk_markdown(content: str, limit: int = 512, overlap: int = 64) -> list[Ch
     return out
 
 
-def _packed(pieces: list[tuple[str, int, int]], limit: int, overlap: int, opening: str) -> list[tuple[str, int, int]]:
-    """(text, first, last) pieces packed into chunks up to ``limit``, the first after ``opening``."""
-    out, held, first, last = [], opening, pieces[0][1], pieces[0][2]
-    for text, begin, end in pieces:
-        if held and width(held) + width(text) + 1 > limit:
-            out.append((held.strip(), first, last))
-            held, first = f"{tail(held, overlap)}\n{text}", begin
-        else:
-            held = f"{held}\n{text}" if held else text
-        last = end
-    return [*out, (held.strip(), first, last)] if held.strip() else out
-
+def chunk_source(content: str, ending: str, limit: int = 512, overlap: int = 64, name: str | None = None) -> list[Chunk]:
+    """The structures of a source file, each below the file's imports, and what lies between them, by start line.
 
-def chunk_python(content: str, limit: int = 512, overlap: int = 64, name: str | None = None) -> list[Chunk]:
-    """Functions and classes of a Python file, each below its imports, and what lies between them, by start line.
-
-    A definition that is too long is packed line by line. A file that does not parse gives no chunk.
+    A structure that is too long is packed line by line, the imports in its first chunk only. A structure inside another
+    statement is a chunk too, and that statement counts as lying between. A chunk of what lies between ends, as far as its line
+    number says, with the statement that did not fit any more. A text that does not parse gives no chunk.
     """
-    try:
-        body = ast.parse(content).body
-    except (SyntaxError, ValueError, RecursionError):
-        return []
-    lines = content.split("\n")
-    imports = [n for n in body if isinstance(n, ast.Import | ast.ImportFrom)]
-    text_of = lambda n: "\n".join(lines[n[0] - 1 : n[1]])
-    spans = [(n.lineno, n.end_lineno) for n in imports]
-    head = "\n".join(text_of(s).strip() for s in spans[:IMPORTS]) + ("\n// ..." if len(spans) > IMPORTS else "")
-    front, out, between = ([f"[{name}]"] if name else []), [], []
-    for node in body:
-        if isinstance(node, ast.Import | ast.ImportFrom):
+    found = structure.parts(content, ending)
+    starts = [0, *(m.end() for m in re.finditer("\n", content))]
+    line_of = lambda at: bisect_right(starts, at)
+    imports = [content[p.start : p.end].strip() for p in found if p.imports]
+    head = "\n".join(imports[:IMPORTS]) + ("\n// ..." if len(imports) > IMPORTS else "")
+    front, out = [f"[{name}]"] if name else [], []
+    for p in (p for p in found if p.split):
+        heading, text = " > ".join([*front, p.name or p.kind.replace("_", " ")]), content[p.start : p.end]
+        begin, end = line_of(p.start), line_of(max(p.start, p.end - 1))
+        if width(text) <= limit:
+            out.append(Chunk(f"{head}\n\n{text}" if head else text, heading, begin, end))
             continue
-        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-            span = (min([node.lineno, *(d.lineno for d in node.decorator_list)]), node.end_lineno)
-            heading, text = " > ".join([*front, node.name]), text_of(span)
-            if width(text) <= limit:
-                out.append(Chunk(f"{head}\n\n{text}" if head else text, heading, *span))
-            else:
-                parts = [(line, span[0] + i, span[0] + i) for i, line in enumerate(text.split("\n"))]
-                packed = _packed(parts, limit, overlap, f"{head}\n\n" if head else "")
-                out.extend(Chunk(t, heading, a, span[1] if i == len(packed) - 1 else b) for i, (t, a, b) in enumerate(packed))
-        else:
-            between.append((text_of((node.lineno, node.end_lineno)).strip(), node.lineno, node.end_lineno))
-    if between:
-        out.extend(Chunk(t, " ".join([*front, "top-level"]), a, b) for t, a, b in _packed(between, limit, overlap, ""))
-    return sorted(out, key=lambda c: c.start_line)
+        opening = [f"{head}\n\n"] if head else []
+        pieces = [*opening, *text.split("\n")]
+        for s in spans(pieces, "\n", limit, overlap):
+            at = begin + max(0, s.first - len(opening))
+            out.append(Chunk(s.text.strip(), heading, at, end if s.after == len(pieces) else begin + s.after - len(opening) - 1))
+    between = [p for p in found if p.top and not p.split and not p.imports and content[p.start : p.end].strip()]
+    for s in spans([content[p.start : p.end].strip() for p in between], "\n", limit, overlap):
+        last = between[min(s.after, len(between) - 1)]
+        out.append(Chunk(s.text.strip(), " ".join([*front, "top-level"]), line_of(between[s.first].start), line_of(last.end - 1)))
+    return sorted((c for c in out if c.content), key=lambda c: c.start_line)
 
 
 def chunk_file(content: str, path: str, limit: int = 512, overlap: int = 64) -> list[Chunk]:
-    """Chunks by file ending: Markdown, Python source, and plain text for all else and for what yields nothing."""
+    """Chunks by file ending: Markdown, source files, and plain text for all else and for what yields nothing."""
     base = path.replace("\\", "/").rsplit("/", 1)[-1]
     ending = f".{base.rsplit('.', 1)[-1].lower()}" if "." in base else ""
     if ending in MARKDOWN:
         return chunk_markdown(content, limit, overlap)
-    return (ending == ".py" and chunk_python(content, limit, overlap, base)) or chunk_text(content, limit, overlap)
+    return (ending in structure.LANGUAGES and chunk_source(content, ending, limit, overlap, path)) or chunk_text(content, limit, overlap)
 
 
 def chunk_documents(df: DataFrame, id_col: str, path_col: str, text_col: str, limit: int = 512, overlap: int = 64, kind: str = "auto") -> DataFrame:

@@ -12,13 +12,13 @@ def thresholds(hits: DataFrame) -> DataFrame:
     """(query_id, full_threshold, summary_threshold) of hits (query_id, similarity, logic_depth).
 
     Mean and population deviation of the query's scores; a depth over 0.6, or none, widens or keeps the full level. Null scores
-    do not count; a query without any gets 0.75 and 0.5.
+    do not count; a query without any gets 0.75 and 0.5. Rounded to 9 decimals, so that no order of summing decides a level.
     """
     own = hits.groupBy("query_id").agg(F.avg("similarity").alias("m"), F.stddev_pop("similarity").alias("s"), F.first("logic_depth", True).alias("d"))
     wide = F.when(F.coalesce("d", F.lit(0.5)) > 0.6, 0.3).otherwise(0.8)
     full = F.when(F.col("m").isNull(), 0.75).otherwise(F.greatest(F.lit(0.30), F.col("m") + F.col("s") * wide))
     summary = F.when(F.col("m").isNull(), 0.50).otherwise(F.greatest(F.lit(0.20), F.col("m") - F.col("s") * 0.3))
-    return own.select("query_id", full.alias("full_threshold"), summary.alias("summary_threshold"))
+    return own.select("query_id", F.round(full, 9).alias("full_threshold"), F.round(summary, 9).alias("summary_threshold"))
 
 
 def level_of(similarity: Column, full: Column, summary: Column) -> Column:
@@ -99,15 +99,15 @@ def summary(folded: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(chunks: DataFrame) -> DataFrame:
+def neighbours(chunks: DataFrame, direction: str = "both") -> DataFrame:
     """Chunks (id, file_id, start_line) with ``before_id`` and ``after_id``, by start line and id within the file.
 
-    Of chunks that begin at the same line only the first has neighbours looked up from, as readers ask by line. Repeated rows
-    count once; null start lines stand first.
+    ``direction`` is before, after or both; the other side is null. Repeated rows count once; null start lines stand first.
     """
     order = Window.partitionBy("file_id").orderBy("start_line", "id")
     own = chunks.select("id", "file_id", "start_line").distinct()
-    return own.select("id", "file_id", "start_line", F.lag("id").over(order).alias("before_id"), F.lead("id").over(order).alias("after_id"))
+    sides = {"before": F.lag("id").over(order), "after": F.lead("id").over(order)}
+    return own.select("id", "file_id", "start_line", *((c if direction in (side, "both") else F.lit(None).cast("bigint")).alias(f"{side}_id") for side, c in sides.items()))
 
 
 def latest_sessions(sessions: DataFrame, keep: int = 10) -> DataFrame:

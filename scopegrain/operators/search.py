@@ -259,12 +259,12 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(terms(text))
 
 
-def enhanced_search(chunks: DataFrame, tags: DataFrame, edges: DataFrame, queries: DataFrame, params: SearchParams = SearchParams(), axes: DataFrame | None = None) -> DataFrame:
+def enhanced_search(chunks: DataFrame, tags: DataFrame, edges: DataFrame, queries: DataFrame, params: SearchParams = SearchParams(), axes: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """Sensing, boost, retrieve and de-duplication for queries (query_id, vector) over chunks (id, content, vector, ...).
 
-    ``axes`` are those stored with the index; without them they are computed here.
+    ``axes`` and ``vectors`` (id, vector) are those stored with the index; without them they are taken from the chunks here.
     """
-    vectors = chunks.select("id", "vector")
+    vectors = chunks.select("id", "vector") if vectors is None else vectors
     axes = main_axes(vectors, params) if axes is None else axes
     # The queries are a stated set; the steps below use their boosted form several times.
     boosted = materialise(boost(sensing(axes, queries, params), tags, edges, params), "boosted")

@@ -75,6 +75,35 @@ def _terms_sql(source: str, key: str, text: str) -> str:
         FROM (SELECT id, unnest(regexp_extract_all(t, '{_HAN}')) AS r FROM (SELECT DISTINCT {key} AS id, {text} AS t FROM {source}))
     ) WHERE term NOT IN ({_STOP})"""
 
+_WHITE = "[\\s\\x0b\\x{a0}\\x{feff}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_SIGNATURE = "(?:^|[\\n\\r\\x{85}\\x{2028}\\x{2029}])([ \\t]*(?:export[\\s\\x0b]+)?(?:default[\\s\\x0b]+)?(?:async[\\s\\x0b]+)?(?:function|class|interface|type|const|enum)[\\s\\x0b]+\\w+[^{;]*)"
+
+
+def _trim_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WHITE}+|{_WHITE}+$', '', 'g')"
+
+
+def _tokens_sql(x: str) -> str:
+    return f"ceil(len(regexp_extract_all({x}, '[\\x{{4e00}}-\\x{{9fff}}]')) * 1.5 + (length({x}) + len(regexp_extract_all({x}, '[\\x{{10000}}-\\x{{10ffff}}]')) - len(regexp_extract_all({x}, '[\\x{{4e00}}-\\x{{9fff}}]'))) / 4)::BIGINT"
+
+
+def _shown_sql(hits: str) -> str:
+    """WITH parts that end in ``f``: hits (rank, path, start_line, end_line, similarity, content, heading, ...) with head and digest."""
+    han = f"regexp_extract_all(c, '{_HAN}')"
+    return f"""a AS (SELECT *, coalesce(content, '') AS c FROM {hits}),
+    b AS (SELECT *, nullif({_trim_sql(f"regexp_extract(c, '{_SIGNATURE}', 1)")}, '') AS sig0,
+        list_concat(list_filter(flatten(list_transform(list_filter(list_transform(regexp_extract_all(c, '{T.LATIN}'), lambda w: lower(w)), lambda w: w NOT IN ({_STOP})), lambda w: regexp_split_to_array(w, '_+'))), lambda w: length(w) >= 2 AND w NOT IN ({_STOP})),
+            list_filter(list_concat(flatten(list_transform({han}, lambda r: list_transform(range(1, length(r)), lambda i: substring(r, i, 2)))), list_filter({han}, lambda r: length(r) <= 4)), lambda w: w NOT IN ({_STOP}))) AS own FROM a),
+    d AS (SELECT *, substring(sig0, 1, 100) AS sig, CASE WHEN sig0 IS NULL THEN nullif(array_to_string(list_transform(list_slice(list_sort(list_transform(list_filter(own, lambda x, i: list_position(own, x) = i), lambda x, i: {{'n': -len(list_filter(own, lambda y: y = x)), 'i': i, 't': x}})), 1, 5), lambda s: s.t), ' · '), '') END AS finger,
+        {_trim_sql("list_filter(string_split(c, chr(10)), lambda x: length(" + _trim_sql("x") + ") > 10)[1]")} AS line FROM b),
+    f AS (SELECT *, '[' || rank || '] ' || path || ' (L' || start_line || '-L' || end_line || ') [' || regexp_replace(regexp_replace(printf('%.3f', similarity), '0+$', ''), '\\.$', '') || ']' AS head,
+        coalesce(nullif(concat_ws(chr(10) || '    ', CASE WHEN heading <> '' THEN '📂 ' || heading END, '⚡ ' || sig, '📝 ' || finger), ''), CASE WHEN length(line) > 80 THEN substring(line, 1, 80) || '...' ELSE line END, '') AS digest FROM d)"""
+
+
+_RULE = "chr(10) || '    ───' || chr(10) || '    '"
+_LEVEL_1 = "head || chr(10) || '    ' || digest"
+_LEVEL_3 = f"{_LEVEL_1} || {_RULE} || c"
+
 
 _DOC_TF = f"SELECT id, term, count(*) AS tf FROM ({_terms_sql('documents', 'doc_id', 'text')}) GROUP BY id, term"
 _USABLE = "len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0"
@@ -346,7 +375,10 @@ def file_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.content_hash("text").alias("hash"))
 
 
-@query()
+_EVERY = "(SELECT DISTINCT ON (id) id, 1 AS rank, 'file/' || file_id AS path, start_line, end_line, 0.5 AS similarity, content, heading FROM chunks)"
+
+
+@query(f"WITH {_shown_sql(_EVERY)} SELECT id, 1 AS level, {_LEVEL_1} AS formatted, {_tokens_sql(_LEVEL_1)} AS tokens FROM f")
 def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk as its structural digest."""
     own = table(spark, sf_dir, "chunks").dropDuplicates(["id"])
@@ -518,17 +550,40 @@ def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("path", F.coalesce("path", F.lit("?")))
 
 
-@query()
+_HIT_PAGE = f"""(SELECT h.query_id, h.id, h.rank, h.similarity, round(l.f, 9) AS full_at, round(l.s, 9) AS summary_at, coalesce(p.path, '?') AS path, c.start_line, c.end_line, c.content, c.heading
+    FROM ({_HITS}) h JOIN ({_LIMITS}) l USING (query_id) JOIN (SELECT DISTINCT ON (id) * FROM chunks) c ON c.id = h.id LEFT JOIN (SELECT DISTINCT id, path FROM files) p ON p.id = c.file_id)"""
+_PRICED = f"""{_shown_sql(_HIT_PAGE)}, t AS MATERIALIZED (SELECT query_id, rank, similarity, full_at, summary_at, {_tokens_sql("head")} AS t0, {_tokens_sql(_LEVEL_1)} AS t1, {_tokens_sql(_LEVEL_3)} AS t3 FROM f)"""
+_SUMMED_LEVELS = "count(*) AS shown, count(*) FILTER (level = 3) AS complete, count(*) FILTER (level = 1) AS digests, count(*) FILTER (level = 0) AS folded, sum(CASE level WHEN 3 THEN t3 WHEN 1 THEN t1 ELSE t0 END)::BIGINT AS tokens"
+
+
+@query(
+    f"""WITH RECURSIVE {_PRICED}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, rank) AS k, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r, sum(t0) OVER (PARTITION BY query_id) AS least FROM t),
+    one(query_id, k, used, level) AS (SELECT DISTINCT query_id, 0::BIGINT, least::HUGEINT, 0 FROM o WHERE least <= 500 UNION ALL
+        SELECT o.query_id, o.k, one.used + CASE WHEN one.used + o.t1 - o.t0 <= 500 THEN o.t1 - o.t0 ELSE 0 END, CASE WHEN one.used + o.t1 - o.t0 <= 500 THEN 1 ELSE 0 END FROM one JOIN o ON o.query_id = one.query_id AND o.k = one.k + 1),
+    two(query_id, k, used, level) AS (SELECT query_id, 0::BIGINT, arg_max(used, k), 0 FROM one GROUP BY 1 UNION ALL
+        SELECT x.query_id, x.k, two.used + CASE WHEN two.used + x.more <= 500 AND x.similarity >= x.full_at THEN x.more ELSE 0 END, CASE WHEN two.used + x.more <= 500 AND x.similarity >= x.full_at THEN 3 ELSE x.level END
+        FROM two JOIN (SELECT o.*, one.level, o.t3 - CASE WHEN one.level = 1 THEN o.t1 ELSE o.t0 END AS more FROM o JOIN one ON one.query_id = o.query_id AND one.k = o.k) x ON x.query_id = two.query_id AND x.k = two.k + 1),
+    l AS (SELECT o.*, two.level FROM o JOIN two ON two.query_id = o.query_id AND two.k = o.k
+        UNION ALL SELECT *, 0 FROM (SELECT o.* FROM o WHERE least > 500 QUALIFY sum(t0) OVER (PARTITION BY query_id ORDER BY r) <= 500))
+    SELECT query_id, {_SUMMED_LEVELS} FROM l GROUP BY 1"""
+)
 def fold_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.summary(fold.fold_budget(_page(spark, sf_dir), 500))
 
 
-@query()
+@query(f"WITH {_PRICED}, l AS (SELECT *, CASE WHEN similarity >= full_at THEN 3 WHEN similarity >= summary_at THEN 1 ELSE 0 END AS level FROM t) SELECT query_id, {_SUMMED_LEVELS} FROM l GROUP BY 1")
 def fold_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.summary(fold.fold(_page(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_shown_sql(_HIT_PAGE)}, w AS MATERIALIZED (SELECT query_id, id, rank, list_distinct(own) AS w FROM b),
+    k(query_id, rank, kept) AS (SELECT DISTINCT query_id, 0, []::STRUCT(id BIGINT, rank INT, w VARCHAR[])[] FROM w UNION ALL
+        SELECT w.query_id, w.rank, CASE WHEN len(list_filter(k.kept, lambda x: len(x.w) > 0 AND len(w.w) > 0 AND len(list_intersect(x.w, w.w)) / len(list_distinct(list_concat(x.w, w.w))) > 0.9)) > 0 THEN k.kept
+            ELSE list_append(k.kept, {{'id': w.id, 'rank': w.rank, 'w': w.w}}) END FROM k JOIN w ON w.query_id = k.query_id AND w.rank = k.rank + 1),
+    e AS (SELECT query_id, unnest(arg_max(kept, rank)[1:10]) AS h FROM k GROUP BY 1)
+    SELECT query_id, h.id AS id, h.rank AS rank FROM e"""
+)
 def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = _page(spark, sf_dir).withColumn("words", search.words_of(F.coalesce("content", F.lit(""))))
     return search.semantic_dedup(page, 0.9, 10).select("query_id", "id", "rank")

@@ -29,7 +29,7 @@ MODELS = {
     "Qwen/Qwen3-Embedding-8B": ("custom", 4096),
 }
 ADDRESSES = {"openai": "https://api.openai.com/v1", "ollama": "http://localhost:11434", "google": "https://generativelanguage.googleapis.com/v1beta", "custom": "http://localhost:3000/v1"}
-#: Texts of one request, and what a fingerprint is taken of.
+#: Texts of one request, and what a fingerprint is taken of (this index's own sentence: stored fingerprints are its own too).
 BATCH, SENTINEL = 100, "The quick brown fox jumps over the lazy dog. Index sentinel v1."
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -140,18 +140,19 @@ def unpack(data: bytes) -> list[float]:
 
 #: Files that tell a project's kind, in order, with the endings it reads and the names it passes over.
 PROJECTS = (
-    (("tsconfig.json",), "typescript", ".ts .tsx .js .jsx .md .json .yaml .yml", "node_modules .git dist build .next coverage *.lock"),
-    (("package.json",), "javascript", ".js .jsx .mjs .md .json .yaml .yml", "node_modules .git dist build .next coverage *.lock"),
-    (("Cargo.toml",), "rust", ".rs .toml .md .txt", "target .git"),
-    (("requirements.txt", "pyproject.toml", "setup.py"), "python", ".py .md .txt .yaml .yml .toml .cfg", "__pycache__ .venv venv .git dist build *.egg-info"),
-    (("go.mod",), "go", ".go .md .txt .yaml .yml", "vendor .git"),
-    (("pom.xml", "build.gradle", "build.gradle.kts"), "java", ".java .kt .xml .md .yaml .yml .properties", "target build .gradle .idea .git"),
+    (("tsconfig.json",), "typescript", (".ts", ".tsx", ".js", ".jsx", ".md", ".json", ".yaml", ".yml"), ("node_modules", ".git", "dist", "build", ".next", "coverage", "*.lock")),
+    (("package.json",), "javascript", (".js", ".jsx", ".mjs", ".md", ".json", ".yaml", ".yml"), ("node_modules", ".git", "dist", "build", ".next", "coverage", "*.lock")),
+    (("Cargo.toml",), "rust", (".rs", ".toml", ".md", ".txt"), ("target", ".git")),
+    (("requirements.txt", "pyproject.toml", "setup.py"), "python", (".py", ".md", ".txt", ".yaml", ".yml", ".toml", ".cfg"), ("__pycache__", ".venv", "venv", ".git", "dist", "build", "*.egg-info")),
+    (("go.mod",), "go", (".go", ".md", ".txt", ".yaml", ".yml"), ("vendor", ".git")),
+    (("pom.xml", "build.gradle", "build.gradle.kts"), "java", (".java", ".kt", ".xml", ".md", ".yaml", ".yml", ".properties"), ("target", "build", ".gradle", ".idea", ".git")),
 )
+OTHER = ("generic", (".md", ".txt", ".json", ".yaml", ".yml", ".ts", ".js", ".py", ".rs", ".go"), ("node_modules", ".git", "dist", "build"))
 
 
 def project_kind(names: set[str]) -> tuple[str, list[str], list[str]]:
     """Kind, endings and ignored names of a project by the files in its root."""
     for marks, kind, endings, ignored in PROJECTS:
         if names & set(marks) and (kind != "typescript" or "package.json" in names):
-            return kind, endings.split(), ignored.split()
-    return "generic", ".md .txt .json .yaml .yml .ts .js .py .rs .go".split(), "node_modules .git dist build".split()
+            return kind, list(endings), list(ignored)
+    return OTHER[0], list(OTHER[1]), list(OTHER[2])

@@ -1,4 +1,4 @@
-"""Watching a landing folder of documents: every micro-batch is one synchronisation."""
+"""Watching a tree of files, or a landing folder of documents: every micro-batch is one synchronisation."""
 
 from __future__ import annotations
 
@@ -28,3 +28,14 @@ def watch(spark: SparkSession, folder: str, checkpoint: str, sync: Callable[[Dat
     stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", max_files).parquet(folder)
     writer = stream.writeStream.foreachBatch(lambda batch, number: sync(latest(batch), number)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def watch_tree(spark: SparkSession, checkpoint: str, sync: Callable[[], object], interval: str = "2 seconds") -> StreamingQuery:
+    """Keep an index in step with the tree of its root: at every tick that finds the last one done, ``sync`` compares and updates.
+
+    A tick that fails comes again when the query restarts; as ``sync`` compares states, it may come any number of times. Changes
+    between two ticks are taken together.
+    """
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+    writer = ticks.writeStream.foreachBatch(lambda batch, number: sync() and None).option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=interval).start()

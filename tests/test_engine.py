@@ -1,9 +1,14 @@
 import datetime
+import shutil
+import time
+
+import pytest
 
 from scopegrain.operators import scopes, sync
 from scopegrain.plans.engine import Engine, Engines
-from scopegrain.sources import models, store
-from scopegrain.streaming.watch import EVENTS, watch
+from scopegrain.sources import files, models, store
+from scopegrain.sources.store import Store
+from scopegrain.streaming.watch import EVENTS, watch, watch_tree
 
 
 def corpus(tmp_path):
@@ -33,7 +38,13 @@ def test_init_search_read_and_sync(spark, tmp_path):
     assert (counts["added"], counts["updated"], counts["removed"]) == (1, 1, 1)
     assert not any(v for k, v in engine.sync().items() if k != "total_chunks")
     assert engine.check_model() == "none" and engine.config("chunk_size") == 512
-    assert {r.folder for r in engine.tree().collect()} == {""}
+    assert {r.folder for r in engine.folders().collect()} == {""}
+    assert engine.tree() == [{"path": str(root), "depth": 0, "vectors": engine.status()["vectors"], "tags": status["tags"]}]
+    assert engine.store.read("file_tags").count() and engine.store.read("axes").count() <= 1
+    few = engine.search("vector index search", top_k=1, min_similarity=0.01)[1].collect()
+    assert len(few) == 1 and engine.search("vector index search", min_similarity=0.9999)[1].count() <= 1
+    again = Engine(spark, str(root), str(tmp_path / "store"))
+    assert again.settings == engine.settings and Engine(spark, str(root), str(tmp_path / "store"), chunk_size=99).settings["chunk_size"] == 99
     assert engine.tag_inspect().count() == status["tags"]
     engine.embedder = models.hashing(32)
     assert engine.check_model() == "rebuild"
@@ -41,6 +52,89 @@ def test_init_search_read_and_sync(spark, tmp_path):
     assert engine.status()["dimensions"] == 32
 
 
+def test_scan_sees_all_names_and_opens_wanted_files_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "LISTED", 2)
+    for name in ("pkg/__init__.py", ".hidden/_x.md", "node_modules/m/a.js", "deep/a/b/c/d.txt", "deep/a/.git/e.txt", "x.bin", "nest/in.md", "nest2/in.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"caf\xc3\xa9 \xff")
+    nested = spark.createDataFrame([("nest",), ("other",)], "path string")
+    rows = {r.path: r for r in files.scan(spark, str(tmp_path), nested=nested).collect()}
+    assert set(rows) == {"pkg/__init__.py", ".hidden/_x.md", "deep/a/b/c/d.txt", "nest2/in.md"}
+    one = rows["deep/a/b/c/d.txt"]
+    assert one.content == "café \ufffd" and one.size == 7 and one.mtime > 1_500_000_000_000 and len(one.hash) == 16
+    assert files.scan(spark, f"file://{tmp_path}").count() == 5 and files.scan(spark, str(tmp_path / "none")).count() == 0
+    listed = {r.path for r in files.listing(spark, str(tmp_path), files.IGNORE).collect()}
+    assert not any("node_modules" in p or ".git" in p for p in listed) and "x.bin" in listed
+
+
+def test_readers_see_all_tables_of_a_version(spark, tmp_path):
+    kept = Store(spark, str(tmp_path / "kept"))
+    one = lambda n: spark.createDataFrame([(n, n, 1.0)], "a bigint, b bigint, weight double")
+    tag = lambda n: spark.createDataFrame([(n, n)], "file_id bigint, tag_id bigint")
+    assert not kept.exists() and kept.read("edges").count() == 0 and not kept.has("edges")
+    kept.write(edges=one(1), file_tags=tag(1))
+    seen, swap, reader = [], kept._replace, Store(spark, str(tmp_path / "kept"))
+
+    def between(name, text):
+        seen.append((reader.read("edges").first().a, reader.read("file_tags").first().tag_id))
+        swap(name, text)
+        seen.append((reader.read("edges").first().a, reader.read("file_tags").first().tag_id))
+
+    kept._replace = between
+    old = kept.read("edges")
+    kept.write(edges=one(2), file_tags=tag(2))
+    assert seen == [(1, 1), (2, 2)] and old.first().a == 1
+    kept.write(edges=one(3))
+    assert kept.read("edges").first().a == 3 and kept.read("file_tags").first().tag_id == 2
+    assert len([x for x in (tmp_path / "kept").iterdir() if x.name.startswith("edges-")]) == 2
+
+
+def test_lost_vectors_are_made_again(spark, tmp_path):
+    engine = Engine(spark, str(corpus(tmp_path)), str(tmp_path / "store"))
+    with pytest.raises(FileNotFoundError):
+        engine.search("x")
+    engine.init()
+    before = {r.id: r.vector for r in engine.store.read("vectors").collect()}
+    shutil.rmtree(tmp_path / "store" / engine.store.version()["vectors"])
+    assert engine.search("vector index search", enhanced=False)[1].count() >= 1
+    assert {r.id: r.vector for r in engine.store.read("vectors").collect()} == before
+
+
+def test_roots_below_and_above_are_searched_by_scope(spark, tmp_path):
+    text = "vector index search of shared notes"
+    for name in ("top/a.md", "top/mid/b.md", "top/mid/low/c.md", "top/mid/low2/d.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"# {name}\n{text}")
+    made = {}
+    for name in ("top/mid", "top", "top/mid/low", "top/mid/low2"):
+        made[name] = Engine(spark, str(tmp_path / name), str(tmp_path / "stores" / name.replace("/", "_")), registry=str(tmp_path / "registry"))
+        made[name].register()
+    for engine in made.values():
+        engine.init()
+    mid = made["top/mid"]
+    found = {s: {r.path for r in mid.search(text, scope=s)[1].collect()} for s in ("local", "bubble", "cascade", "merge")}
+    assert found == {"local": {"b.md"}, "bubble": {"b.md", "../a.md"}, "cascade": {"b.md", "low/c.md", "low2/d.md"}, "merge": {"b.md", "../a.md", "low/c.md", "low2/d.md"}}
+    session, page = mid.search(text, scope="merge", top_k=3)
+    assert page.count() == 3 and mid.read(session, [1, 2, 3], level=4, direction="before").count() == 3
+    assert {r.path for r in made["top/mid/low"].search(text, scope="merge")[1].collect()} == {"c.md", "../b.md", "../../a.md"}
+    assert [(t["path"].removeprefix(str(tmp_path)), t["depth"], t["vectors"]) for t in made["top"].tree()] == [("/top", 0, 1), ("/top/mid", 1, 1), ("/top/mid/low", 2, 1), ("/top/mid/low2", 2, 1)]
+
+
+def test_tree_is_watched(spark, tmp_path):
+    root = corpus(tmp_path)
+    engine = Engine(spark, str(root), str(tmp_path / "store"))
+    engine.init()
+    query = watch_tree(spark, str(tmp_path / "cp"), engine.sync, "1 second")
+    try:
+        (root / "new.md").write_text("# New\nseen by the watcher")
+        end = time.time() + 120
+        while time.time() < end and not engine.store.read("files").filter("path = 'new.md'").count():
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert engine.store.read("chunks").filter("path = 'new.md'").count() == 1
+
+
 def test_stream_of_documents(spark, tmp_path):
     engine = Engine(spark, str(corpus(tmp_path)), str(tmp_path / "store"))
     engine.init()

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scopegrain.functions import text as T
-from scopegrain.operators import chunkers, fold
+from scopegrain.operators import chunkers, fold, structure
 
 
 def value(spark, column, text):
@@ -51,7 +51,7 @@ def test_signature_terms_and_first_line(spark):
 def test_paths_and_sizes(spark):
     wanted = T.wanted_path("t", [".py"], ["dist"])
     assert [value(spark, wanted, p) for p in ("a/b.PY", "a\\dist\\b.py", "a/b.md", "dist.py")] == [True, False, False, True]
-    assert [value(spark, T.safe_relative("t"), p) for p in ("a/../b", "../b", "a/../../b", "./a")] == [True, False, False, True]
+    assert [value(spark, T.safe_relative("t"), p) for p in ("a/../b", "../b", "/a/../b", "./a", "a..b")] == [False, False, True, True, False]
     assert [value(spark, T.format_size(F.length("t") * 1024), x) for x in ("", "a", "a" * 1536)] == ["0B", "1.0KB", "1.5MB"]
 
 
@@ -75,12 +75,46 @@ def test_markdown_sections():
 
 
 def test_python_chunks():
-    code = "import a\nimport b\n\nX = 1\n\n@deco\ndef f():\n    return 1\n\nclass K:\n" + "\n".join(f"    def m{i}(self):\n        return {i}" for i in range(40))
-    made = chunkers.chunk_python(code, name="m.py")
+    code = "import a\nimport b\n\nX = 1\n\n@deco\ndef f():\n    return 1\n\nif X:\n    def g():\n        pass\nelse:\n    def h():\n        pass\n\nclass K:\n" + "\n".join(f"    def m{i}(self):\n        return {i}" for i in range(40))
+    made = chunkers.chunk_source(code, ".py", name="m.py")
     assert [c.start_line for c in made] == sorted(c.start_line for c in made)
     assert made[0].heading == "[m.py] top-level" and made[1].content.startswith("import a\nimport b\n\n@deco")
-    assert chunkers.chunk_python("def (") == [] and chunkers.chunk_file("def (", "x.py")
-
+    assert [c.heading.removeprefix("[m.py] > ") for c in made[1:4]] == ["decorated definition", "g", "K"] and made[0].end_line == 15
+    assert len([c for c in made if c.heading.endswith("> K")]) > 2 and made[-1].end_line == len(code.split("\n"))
+    assert chunkers.chunk_source("def (", ".py") == [] and chunkers.chunk_file("def (", "x.py")
+    assert chunkers.chunk_source("def f(): pass", ".xyz") == [] and chunkers.chunk_source("", ".rs") == []
+
+
+SOURCES = {
+    ".ts": ('import a from "a";\nexport function f(x) {\n  return `}${x}`; // }\n}\nclass B { m() {} }\nconst g = async (x) => {\n  return x\n}\ninterface Q { a: string }\ntype T = { a: 1 };\nenum E { A }\ncall("{")\n', ["export statement", "B", "arrow function", "Q", "T", "E"], 1),
+    ".rs": ("use a::b;\n#[derive(Debug)]\npub struct S { a: i32 }\nimpl S { fn x(&self) -> char { '}' } }\nmod inner { pub fn deep() {} }\npub async fn go<'a>(x: &'a str) -> i32 { let s = \"}\"; 1 }\ntrait R {}\n", ["S", "impl item", "deep", "go", "R"], 1),
+    ".go": ('package main\n\nimport (\n\t"fmt"\n)\n\ntype T struct {\n\ta int\n}\n\nfunc (t *T) M(x int) error {\n\treturn nil\n}\n\nfunc main() {\n\tfmt.Println("}")\n}\n', ["M", "main"], 1),
+    ".java": ("package a.b;\nimport java.util.*;\n/** doc { */\n@Ann(1)\npublic final class Foo extends Bar { void m() { } }\ninterface I { }\nenum E { A }\n", ["Foo", "I", "E"], 2),
+    ".c": ('#include <x.h>\n#define A {\nstatic int *add(int a, int b) {\n  return a;\n}\nstruct P { int x; };\nint main(void) { puts("}"); }\n', ["*add(int a, int b)", "main(void)"], 0),
+    ".cs": ("using A;\nnamespace N {\n  [Attr]\n  public class C { void M() {} }\n  interface I { }\n}\n", ["C", "I"], 0),
+    ".kt": ("import a.b\n\nfun f(x: Int): Int {\n  return x\n}\n\ndata class D(val a: Int)\n", ["f", "D"], 0),
+    ".lua": ("-- function no()\nlocal function f(x)\n  return x\nend\n", ["f"], 0),
+}
+
+
+@pytest.mark.parametrize("ending", sorted(SOURCES))
+def test_structures_of_a_language(ending):
+    code, names, imports = SOURCES[ending]
+    found = structure.parts(code, ending)
+    assert [p.name or p.kind.replace("_", " ") for p in sorted(found, key=lambda p: p.start) if p.split] == names
+    assert sum(p.imports for p in found) == imports
+    made = chunkers.chunk_source(code, ending, name=f"m{ending}")
+    assert [c.heading for c in made if "top-level" not in c.heading] == [f"[m{ending}] > {n}" for n in names]
+    for text in (code[:-9], code[: len(code) // 2], code.replace("}", "")):
+        assert chunkers.chunk_file(text, f"x{ending}")
+
+
+def test_stretches_of_pieces():
+    made = chunkers.spans(["", "aa", "b" * 9, "c", "😀😀"], "\n", 6, 3)
+    assert [(s.text, s.again, s.first, s.after) for s in made] == [("aa", "", 1, 2), ("aa\n" + "b" * 9, "aa", 2, 3), ("bbb\nc", "bbb", 3, 4), ("b\nc\n😀😀", "b\nc", 4, 5)]
+    assert chunkers.spans([], "\n", 6, 3) == [] and chunkers.spans(["", ""], "\n", 6, 3) == []
+    # Half of a character is never repeated.
+    assert [s.text for s in chunkers.spans(["x😀", "y"], "\n", 3, 1)] == ["x😀", "\ny"]
 
 def test_chunk_table_handles_nulls(spark):
     df = spark.createDataFrame([(1, "a.md", "# H\nx"), (2, None, "y"), (3, "b.py", None), (4, "c.py", "")], "doc bigint, p string, t string")
