@@ -1,10 +1,12 @@
-"""Near-duplicate records by T-occurrence search over inverted lists of word shingles.
+"""Near-duplicate records by T-occurrence search over inverted lists of word shingles (DivideSkip).
 
 Two records are near-duplicates if they share T shingles, where T follows from their numbers of shingles and the least
-similarity. A record's shingles stand in one global order, rare ones first. Those beyond its T-1 most frequent ones are its
-short lists: any partner of the record shares at least one of them. The short lists are merged, record by record, in sorted
-runs; two exact bounds (what can still follow on either side, and bit maps of the whole shingle sets) drop most pairs at
-once; the long lists of the rest are probed by binary search, and a pair stays if the required overlap is reached.
+similarity. A record's shingles stand in one global order, rare ones first. The L most frequent ones of a record, one less
+than any partner must share with it, are its long lists, the others its short ones: every partner stands in one of the short
+lists at least. These are merged in sorted runs, which gives the candidates; two exact bounds (what can still follow on either
+side, and bit maps of the whole shingle sets) drop most of them at once. For the rest, the occurrences in the short lists are
+counted, those with fewer than T - L leave, and only for what is left the long lists are probed by binary search; a pair stays
+if its occurrences reach T.
 
 Records with equal shingle sets are one row, so that copies cost no more than one record. The order needs only an upper
 estimate of each shingle's frequency: a count-min table of fixed size over all records, the only thing that is broadcast.
@@ -125,7 +127,6 @@ def frequencies(sets: DataFrame) -> np.ndarray:
 
 
 def _postings(table, least: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    p, q = least.numerator, least.denominator
     names = ["shingle", "cell", "block", "skey", "n", "pos", "b0", "b1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +137,8 @@ def _postings(table, least: Fraction) -> Callable[[Iterator[pa.RecordBatch]], It
                 key = part.column(0).to_numpy()
                 flat, number = _unpack(part.column(1))
                 maps = bit_maps(flat, number)
-                one, two = _slots(flat)
-                often = np.minimum(seen[one], seen[two])
-                owner = np.repeat(np.arange(len(key)), number)
-                order = np.lexsort((flat, often, owner))
-                place = np.arange(len(flat)) - np.repeat(np.cumsum(number) - number, number)
-                short = place < (number - (number * p + q - 1) // q + 1)[owner]
+                order, place, owner, often = in_order(flat, number, seen)
+                short = place < (number - long_lists(number, least))[owner]
                 order, place, owner = order[short], place[short], owner[short]
                 flat, often = flat[order], often[order]
                 parts = np.maximum(1, -(-often.astype(np.int64) // BLOCK))
@@ -218,21 +215,48 @@ def _merged(least: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def _probed(least: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def long_lists(number: np.ndarray, least: Fraction) -> np.ndarray:
+    """L: how many of a record's lists are long; any partner shares at least one more shingle with it."""
+    return -(-number.astype(np.int64) * least.numerator // least.denominator) - 1
+
+
+def in_order(flat: np.ndarray, number: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The global order: positions of the shingles by record, rare ones first; each one's place in its record, its record, and
+    its frequency before ordering."""
+    one, two = _slots(flat)
+    often = np.minimum(table[one], table[two])
+    owner = np.repeat(np.arange(len(number)), number)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(number) - number, number)
+    return np.lexsort((flat, often, owner)), place, owner, often
+
+
+def _probed(table, least: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     p, q = least.numerator, least.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = table.value
         for batch in batches:
             for begin in range(0, batch.num_rows, 4_096):
                 part = batch.slice(begin, 4_096)
                 (one, n), (two, m) = _unpack(part.column(2)), _unpack(part.column(3))
-                lists = (np.repeat(np.arange(len(n)), n).astype(np.uint64) << np.uint64(BITS)) | one
-                asked = (np.repeat(np.arange(len(m)), m).astype(np.uint64) << np.uint64(BITS)) | two
-                at = np.minimum(np.searchsorted(lists, asked), max(0, len(lists) - 1))
-                hit = lists[at] == asked if len(lists) else np.zeros(len(asked), bool)
-                shared = np.bincount((asked[hit] >> np.uint64(BITS)).astype(np.int64), minlength=len(n))
+                # Sorted by pair and shingle, so that one binary search probes all pairs.
+                lists = (np.repeat(np.arange(len(m)), m).astype(np.uint64) << np.uint64(BITS)) | two
+                order, place, owner, _ = in_order(one, n, seen)
+                asked = ((owner.astype(np.uint64) << np.uint64(BITS)) | one)[order]
+
+                def occurrences(which: np.ndarray, asked=asked, owner=owner, lists=lists, pairs=len(n)) -> np.ndarray:  # noqa: ANN001
+                    keys = asked[which]
+                    at = np.minimum(np.searchsorted(lists, keys), max(0, len(lists) - 1))
+                    hit = lists[at] == keys if len(lists) else np.zeros(len(keys), bool)
+                    return np.bincount(owner[which][hit], minlength=pairs)
+
+                long_ = long_lists(n, least)
+                short = place < (n - long_)[owner]
+                shared = occurrences(np.flatnonzero(short))
+                able = shared >= required(n, m, least) - long_
+                shared = shared + occurrences(np.flatnonzero(~short & able[owner]))
                 union = n + m - shared
-                keep = shared * q >= union * p
+                keep = able & (shared * q >= union * p)
                 yield pa.RecordBatch.from_arrays([pa.array(part.column(c).to_numpy()[keep]) for c in range(2)] + [pa.array(shared[keep] / np.maximum(union[keep], 1))], ["a", "b", "similarity"])
 
     return run
@@ -253,7 +277,7 @@ def similar_sets(sets: DataFrame, least: Fraction) -> DataFrame:
     pairs = posted.repartition("shingle", "cell").sortWithinPartitions("shingle", "cell", "n").mapInArrow(_merged(least), "a bigint, b bigint").distinct()
     one = sets.select(F.col("skey").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("skey").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_probed(least), "a bigint, b bigint, similarity double")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_probed(table, least), "a bigint, b bigint, similarity double")
 
 
 def near_duplicate_texts(df: DataFrame, id_col: str, text_col: str, least: float = 0.8, size: int = 5, least_tokens: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -339,3 +363,33 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, two = first.select(F.col("skey").alias("a"), F.col("class_id").alias("x")), first.select(F.col("skey").alias("b"), F.col("class_id").alias("y"))
     joined = pairs.join(one, "a").join(two, "b")
     return joined.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"), F.round("similarity", 6).alias("similarity"))
+
+
+def chunk_classes(chunks: DataFrame, least: float = 0.6, size: int = 3, least_tokens: int = 30, least_cosine: float = 0.985) -> tuple[DataFrame, DataFrame]:
+    """Membership (kind, id, key) of chunks in classes of equal shingle sets (text) and of equal vectors (vector), and the pairs
+    (kind, a, b) of classes that are near-duplicates: p3_found without its expansion. A chunk may be in a class of either kind,
+    or in none."""
+    members, pairs = near_duplicate_texts(chunks, "id", "content", least, size, least_tokens)
+    vectors = usable_vectors(chunks, "id", "vector")
+    groups = materialise(vector_groups(vectors, 1), "vectors")
+    close = near_pairs(groups, least_cosine).select(F.lit("vector").alias("kind"), "a", "b")
+    held = members.select(F.lit("text").alias("kind"), "id", F.col("skey").alias("key")).unionByName(vectors.select(F.lit("vector").alias("kind"), "id", F.col("vkey").alias("key")).distinct())
+    return held, materialise(pairs.select(F.lit("text").alias("kind"), "a", "b").unionByName(close), "class-pairs")
+
+
+def p3_chunk_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, chunk_id, class_id, members, links): each chunk's classes, named by the smallest id, their sizes and links."""
+    members, pairs = chunk_classes(spark.read.parquet(f"{sf_dir}/chunks.parquet"))
+    links = pairs.select("kind", F.explode(F.array("a", "b")).alias("key")).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("links"))
+    first = members.groupBy("kind", "key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members")).join(links, ["kind", "key"], "left")
+    named = members.join(first, ["kind", "key"])
+    return named.select("kind", F.col("id").alias("chunk_id"), "class_id", "members", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+
+
+def p3_chunk_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, class_a, class_b), class_a < class_b: the near-duplicates among the classes of p3_chunk_classes."""
+    members, pairs = chunk_classes(spark.read.parquet(f"{sf_dir}/chunks.parquet"))
+    first = materialise(members.groupBy("kind", "key").agg(F.min("id").alias("class_id")), "classes")
+    one, two = (first.select("kind", F.col("key").alias(k), F.col("class_id").alias(c)) for k, c in (("a", "x"), ("b", "y")))
+    joined = pairs.join(one, ["kind", "a"]).join(two, ["kind", "b"])
+    return joined.select("kind", F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"))

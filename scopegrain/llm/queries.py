@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": neardup.p3_found,
         "p3_classes": neardup.p3_classes,
         "p3_pairs": neardup.p3_pairs,
+        "p3_chunk_classes": neardup.p3_chunk_classes,
+        "p3_chunk_pairs": neardup.p3_chunk_pairs,
         "p4_found": handwritten.p4_found,
         "p4_validation": handwritten.p4_validation,
         "p5_found": split.p5_found,
@@ -52,6 +54,20 @@ _P3 = f"""WITH w AS (SELECT id, regexp_extract_all(lower(content), '[a-z0-9_]+')
     SELECT x AS chunk_a, y AS chunk_b FROM o JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE 10 * o >= 6 * (p.n + q.n - o)
     UNION SELECT a.id, b.id FROM c a JOIN c b ON a.id < b.id WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.985"""
 
+_CHUNK_CLASSES = f"""w AS (SELECT id, regexp_extract_all(lower(content), '[a-z0-9_]+') AS w FROM (SELECT DISTINCT id, content FROM chunks WHERE content IS NOT NULL)),
+    g AS MATERIALIZED (SELECT id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w WHERE len(w) >= 30),
+    v AS MATERIALIZED {_CHUNKS},
+    m AS MATERIALIZED (SELECT 'text' AS kind, id, array_to_string(g, '|') AS k FROM g UNION ALL SELECT 'vector', id, v::VARCHAR FROM v),
+    f AS MATERIALIZED (SELECT kind, k, min(id) AS class_id, count(*) AS members FROM m GROUP BY 1, 2),
+    s AS MATERIALIZED (SELECT class_id, len(g) AS n, unnest(g) AS s FROM f JOIN g ON g.id = class_id WHERE kind = 'text'),
+    o AS (SELECT a.class_id AS x, b.class_id AS y, count(*) AS o, any_value(a.n) AS p, any_value(b.n) AS q FROM s a JOIN s b ON a.s = b.s AND a.class_id < b.class_id GROUP BY 1, 2),
+    c AS MATERIALIZED (SELECT class_id, v FROM f JOIN v ON v.id = class_id WHERE kind = 'vector'),
+    l AS MATERIALIZED (SELECT 'text' AS kind, x, y FROM o WHERE 10 * o >= 6 * (p + q - o)
+        UNION ALL SELECT 'vector', a.class_id, b.class_id FROM c a JOIN c b ON a.class_id < b.class_id WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.985)"""
+_P3_CHUNK_CLASSES = f"""WITH {_CHUNK_CLASSES}, n AS (SELECT kind, c, count(*) AS n FROM (SELECT kind, x AS c FROM l UNION ALL SELECT kind, y FROM l) GROUP BY 1, 2)
+    SELECT m.kind, m.id AS chunk_id, class_id, members, coalesce(n.n, 0) AS links FROM m JOIN f ON f.kind = m.kind AND f.k = m.k LEFT JOIN n ON n.kind = m.kind AND n.c = class_id"""
+_P3_CHUNK_PAIRS = f"WITH {_CHUNK_CLASSES} SELECT kind, x AS class_a, y AS class_b FROM l"
+
 _P7 = """WITH d AS (SELECT DISTINCT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
     e AS (SELECT DISTINCT item_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL),
     x AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS s FROM d WHERE len(w) >= 12),
@@ -96,4 +112,4 @@ _P8 = f"""WITH k AS (SELECT list(word) AS k FROM (SELECT word FROM (SELECT unnes
 
 def oracle_sql() -> dict[str, str]:
     """p4 and p8_found are learned, p6 iterates: they are tested against held-out labels and a public library."""
-    return {"p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p3_classes": _P3_CLASSES, "p3_pairs": _P3_PAIRS, "p5_found": _P5, "p7_found": _P7, "p8_statistics": _P8}
+    return {"p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p3_classes": _P3_CLASSES, "p3_pairs": _P3_PAIRS, "p3_chunk_classes": _P3_CHUNK_CLASSES, "p3_chunk_pairs": _P3_CHUNK_PAIRS, "p5_found": _P5, "p7_found": _P7, "p8_statistics": _P8}

@@ -13,24 +13,24 @@ from pyspark.sql import functions as F
 #: Largest piece, characters of a piece before which no cut is sought, and overlap of consecutive pieces.
 LIMIT, LEAST, OVERLAP = 512, 256, 64
 
-#: The separators from the coarsest to the finest, each matching where a cut may stand; the last resort is any character.
-HEADING = re.compile(r"(?m)(?<![^\n])#{1,6} ")
+#: Where a cut may stand by kind of separator: the position at which the next piece begins. Any character is the last resort.
+SEPARATORS: dict[str, str] = {
+    "heading": r"(?m)(?<![^\n])(?=#{1,6} )",
+    "paragraph": r"(?m)(?:\A|(?<=\n))[ \t\r]*\n",
+    "line": r"\n",
+    "sentence": r"[.!?…][\"'”’»)\]]*[ \t]+|[。！？]",
+    "word": r"[ \t]",
+}
+#: The hierarchy from the coarsest to the finest; ``sentence`` may be put before ``word`` where no definition forbids it.
+HIERARCHY = ("heading", "paragraph", "line", "word")
 LINE = re.compile(r"\n")
-BLANK = re.compile(r"[ \t\r]*")
 
 
 class Boundaries:
     """Sorted positions of each kind of boundary in one text, found once."""
 
-    def __init__(self, text: str) -> None:
-        ends = [m.start() for m in LINE.finditer(text)]
-        starts = [e + 1 for e in ends]
-        self.text, self.newlines = text, np.array(ends, np.int64)
-        heads = [m.start() for m in HEADING.finditer(text)]
-        before = [0, *starts]
-        blank = [s for s, begin, end in zip(starts, before, ends, strict=False) if BLANK.fullmatch(text, begin, end)]
-        spaces = [m.end() for m in re.finditer(r"[ \t]", text)]
-        self.levels = [np.array(x, np.int64) for x in (heads, blank, starts, spaces)]
+    def __init__(self, text: str, hierarchy: tuple[str, ...] = HIERARCHY) -> None:
+        self.levels = [np.array([m.end() for m in re.finditer(SEPARATORS[kind], text)], np.int64) for kind in hierarchy]
 
     def cut(self, low: int, high: int) -> int:
         """The largest boundary in [low, high] of the coarsest kind that has one, else ``high``."""
@@ -41,11 +41,11 @@ class Boundaries:
         return high
 
 
-def pieces(text: str, limit: int = LIMIT, least: int = LEAST, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+def pieces(text: str, limit: int = LIMIT, least: int = LEAST, overlap: int = OVERLAP, hierarchy: tuple[str, ...] = HIERARCHY) -> list[tuple[int, int]]:
     """[start, end) of the pieces of ``text``: packed up to ``limit``, each beginning ``overlap`` before the last one's end."""
     if not least > overlap:
         raise ValueError("a piece must be longer than the overlap")
-    marks, out, start = Boundaries(text), [], 0
+    marks, out, start = Boundaries(text, hierarchy), [], 0
     while len(text) - start > limit:
         end = marks.cut(start + least, start + limit)
         out.append((start, end))
@@ -53,12 +53,13 @@ def pieces(text: str, limit: int = LIMIT, least: int = LEAST, overlap: int = OVE
     return [*out, (start, len(text))]
 
 
-def split_oversized(chunks: DataFrame, limit: int = LIMIT, least: int = LEAST, overlap: int = OVERLAP) -> DataFrame:
+def split_oversized(chunks: DataFrame, limit: int = LIMIT, least: int = LEAST, overlap: int = OVERLAP, hierarchy: tuple[str, ...] = HIERARCHY) -> DataFrame:
     """One row for each piece of each chunk with more than ``limit`` characters (code points).
 
     Columns: chunk_id, piece_no (from 1), char_start, char_end (0-based, end exclusive), line_start, line_end, heading.
     Null, empty and shorter contents give no rows; a null start_line counts as 1; a null id drops out; repeated rows count
-    once; other columns are ignored. Each row is split on its own, so no text is ever gathered with others.
+    once (the pieces are compared, which are smaller than the texts); other columns are ignored. Each row is split on its own,
+    so no text is ever gathered with others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +68,7 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, least: int = LEAST, o
             rows: list[tuple] = []
             for one, text, line, head in zip(ids, texts, lines, heads, strict=True):
                 ends = np.array([m.start() for m in LINE.finditer(text)], np.int64)
-                cuts = pieces(text, limit, least, overlap)
+                cuts = pieces(text, limit, least, overlap, hierarchy)
                 begin = np.searchsorted(ends, [s for s, _ in cuts], side="left").tolist()
                 close = np.searchsorted(ends, [e - 1 for _, e in cuts], side="left").tolist()
                 rows += [(one, n + 1, s, e, line + b, line + c, head) for n, ((s, e), b, c) in enumerate(zip(cuts, begin, close, strict=True))]

@@ -188,6 +188,13 @@ def test_pieces_equal_a_plain_reading(seed):
     assert split.pieces(text) == slow_pieces(text)
 
 
+def test_sentences_may_be_a_level_of_the_hierarchy():
+    text = "One short sentence here. " * 40
+    with_ = split.pieces(text, hierarchy=("heading", "paragraph", "line", "sentence", "word"))
+    assert all(text[:e].endswith(". ") for _, e in with_[:-1]) and len(with_) > 1
+    assert split.pieces("字。" * 400, 512, 256, 64, ("sentence",))[0] == (0, 512)
+
+
 def test_split_rows(spark):
     rows = [(1, "a" * 1200, None, "h"), (1, "a" * 1200, None, "h"), (2, None, 1, None), (3, "", 1, None), (4, "b\n" * 400, 7, ""), (None, "a" * 600, 1, None), (5, "a" * 512, 1, None)]
     got = split.split_oversized(spark.createDataFrame(rows, "id bigint, content string, start_line int, heading string")).orderBy("chunk_id", "piece_no").collect()
