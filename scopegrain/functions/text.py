@@ -148,9 +148,10 @@ def key_lines(content: Column | str) -> Column:
 
 
 def header(index: Column, path: Column, start: Column, end: Column, similarity: Column) -> Column:
-    """``[1] path (L1-L9) [0.5]``; the score as a script prints it, without trailing zeros."""
+    """``[1] path (L1-L9) [0.5]``; the score as a script prints it, without trailing zeros; a question mark for a null line or path."""
+    known = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
     score = F.regexp_replace(F.regexp_replace(F.format_string("%.3f", similarity), "0+$", ""), r"\.$", "")
-    return F.concat(F.lit("["), index.cast("string"), F.lit("] "), path, F.lit(" (L"), start.cast("string"), F.lit("-L"), end.cast("string"), F.lit(") ["), score, F.lit("]"))
+    return F.concat(F.lit("["), index.cast("string"), F.lit("] "), known(path), F.lit(" (L"), known(start), F.lit("-L"), known(end), F.lit(") ["), score, F.lit("]"))
 
 
 def format_level(level: Column, head: Column, digest: Column, lines: Column, content: Column) -> Column:

@@ -96,7 +96,7 @@ def _shown_sql(hits: str) -> str:
             list_filter(list_concat(flatten(list_transform({han}, lambda r: list_transform(range(1, length(r)), lambda i: substring(r, i, 2)))), list_filter({han}, lambda r: length(r) <= 4)), lambda w: w NOT IN ({_STOP}))) AS own FROM a),
     d AS (SELECT *, substring(sig0, 1, 100) AS sig, CASE WHEN sig0 IS NULL THEN nullif(array_to_string(list_transform(list_slice(list_sort(list_transform(list_filter(own, lambda x, i: list_position(own, x) = i), lambda x, i: {{'n': -len(list_filter(own, lambda y: y = x)), 'i': i, 't': x}})), 1, 5), lambda s: s.t), ' · '), '') END AS finger,
         {_trim_sql("list_filter(string_split(c, chr(10)), lambda x: length(" + _trim_sql("x") + ") > 10)[1]")} AS line FROM b),
-    f AS (SELECT *, '[' || rank || '] ' || path || ' (L' || start_line || '-L' || end_line || ') [' || regexp_replace(regexp_replace(printf('%.3f', similarity), '0+$', ''), '\\.$', '') || ']' AS head,
+    f AS (SELECT *, '[' || rank || '] ' || coalesce(path, '?') || ' (L' || coalesce(start_line::VARCHAR, '?') || '-L' || coalesce(end_line::VARCHAR, '?') || ') [' || regexp_replace(regexp_replace(printf('%.3f', similarity), '0+$', ''), '\\.$', '') || ']' AS head,
         coalesce(nullif(concat_ws(chr(10) || '    ', CASE WHEN heading <> '' THEN '📂 ' || heading END, '⚡ ' || sig, '📝 ' || finger), ''), CASE WHEN length(line) > 80 THEN substring(line, 1, 80) || '...' ELSE line END, '') AS digest FROM d)"""
 
 

@@ -8,7 +8,6 @@ import pytest
 from scopegrain.plans import catalogue
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-HEAVY = {"enhanced_search", "boost_search", "digests", "fold_budget"}
 
 
 def plain(value):
@@ -18,7 +17,7 @@ def plain(value):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - HEAVY))
+@pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query(spark, name):
     got = catalogue.queries()[name](spark, FOLDER)
     columns = sorted(got.columns)
