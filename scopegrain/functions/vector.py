@@ -132,6 +132,44 @@ def drift(boosted: Column | str, original: Column | str) -> Column:
     return 1 - cosine(boosted, original)
 
 
+def boosted_query(v: np.ndarray, tags: np.ndarray, likeness: np.ndarray, further: np.ndarray, weight: float, use_residual: bool) -> np.ndarray:
+    """``project`` and ``fuse`` of one query in NumPy: its matched tags with their similarities, and tags that only span."""
+    summed = v + weight * (likeness @ tags)
+    if use_residual:
+        basis: list[np.ndarray] = []
+        for tag in np.concatenate([tags, further]):
+            rest = tag.copy()
+            for b in basis:
+                rest -= (rest @ b) * b
+            norm = np.sqrt(rest @ rest)
+            if norm > 1e-10:
+                basis.append(rest / norm)
+        along = np.stack(basis) if basis else np.zeros((0, len(v)))
+        summed = summed + 0.3 * weight * (v - (along @ v) @ along)
+    norm = np.sqrt(summed @ summed)
+    return summed / norm if norm > 1e-10 else summed
+
+
+def boosting(use_residual: bool) -> Callable[..., Column]:
+    """Column function of (vector, matched vectors, their similarities, further vectors, weight): ``boosted_query``, or the
+    vector itself without a match. Queries are a stated set; one Arrow batch of them is one call."""
+
+    @F.pandas_udf("array<double>")
+    def run(vector: pd.Series, tags: pd.Series, likeness: pd.Series, further: pd.Series, weight: pd.Series) -> pd.Series:
+        out = []
+        for v, t, s, f, w in zip(vector, tags, likeness, further, weight, strict=True):
+            v = np.asarray(v, float)
+            if t is None or not len(t):
+                out.append(v)
+                continue
+            t = np.stack([np.asarray(x, float) for x in t])
+            f = np.stack([np.asarray(x, float) for x in f]) if f is not None and len(f) else np.zeros((0, len(v)))
+            out.append(boosted_query(v, t, np.asarray(s, float), f, w, use_residual))
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
 def decompose(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Leading right singular vectors and singular values of the centred rows, without the tail under 1 % of the energy."""
     centred = rows - rows.mean(axis=0)

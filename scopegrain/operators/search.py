@@ -164,7 +164,7 @@ def systematic_sample(vectors: DataFrame, n: int = 30) -> DataFrame:
 
 
 def main_axes(vectors: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
-    """(axes, strengths, k), one row: the main axes of the systematic sample; no row with fewer than ``least_vectors`` vectors.
+    """(axes, strengths, k), one written row: the main axes of the systematic sample; none with fewer than ``least_vectors`` vectors.
 
     Built with the index and stored beside it, so that a search reads one row instead of ranking ids.
     """
@@ -172,7 +172,7 @@ def main_axes(vectors: DataFrame, params: SearchParams = SearchParams()) -> Data
     if fine.select("id").distinct().limit(params.least_vectors).count() < params.least_vectors:
         return vectors.sparkSession.createDataFrame([], "axes array<array<double>>, strengths array<double>, k int")
     sample = systematic_sample(fine, params.sample).select(F.lit(1).alias("grp"), V.doubles("vector").alias("vector"))
-    return sample.groupBy("grp").applyInPandas(V.principal_axes(params.components), "grp int, axes array<array<double>>, strengths array<double>, k int").drop("grp")
+    return materialise(sample.groupBy("grp").applyInPandas(V.principal_axes(params.components), "grp int, axes array<array<double>>, strengths array<double>, k int").drop("grp"), "axes")
 
 
 def sensing(axes: DataFrame, queries: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
@@ -194,33 +194,25 @@ def boost(queries: DataFrame, tags: DataFrame, edges: DataFrame, params: SearchP
     The best tags (id, name, vector) over the floor pull the query; tags one edge (a, b, weight) further take part in the
     projection only. A query without a match stays as it is, with beta 0.
     """
-    from scopegrain.operators.tags import expand_tags
+    from scopegrain.operators.tags import both_ways, expand_tags
 
     known = tags.filter(V.usable("vector")).dropDuplicates(["id"])
     top = nearest_batch(known, queries, params.max_boost_tags).filter(F.col("score") > params.tag_floor)
     seeds = top.select("query_id", F.col("id").alias("tag"))
     # Edges reach the queries that hold one of their ends; the queries are a stated set.
-    near = seeds.join(_directed(edges), F.col("tag") == F.col("a")).select("query_id", "a", "b", "weight")
+    near = seeds.join(both_ways(edges, []), F.col("tag") == F.col("a")).select("query_id", "a", "b", "weight")
     further = expand_tags(near, seeds, ["query_id"], params.expansion, params.tag_floor)
     size = known.agg(F.count(F.lit(1)).alias("tags"))
     named = known.select("id", "name", V.doubles("vector").alias("tag_vector"))
     matched = top.join(named, "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("name"), F.col("tag_vector").alias("vector"), F.col("score").alias("similarity")))).alias("m"))
     expanded = further.withColumnRenamed("tag", "id").join(named, "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "id", F.col("tag_vector").alias("vector")))).alias("e"))
     joined = queries.join(matched, "query_id", "left").join(expanded, "query_id", "left").join(F.broadcast(size))
-    count = F.coalesce(F.size("m"), F.lit(0))
-    spanned = F.concat(F.transform("m", lambda t: t["vector"]), F.coalesce(F.transform("e", lambda t: t["vector"]), F.array().cast("array<array<double>>")))
-    out = joined.withColumn("beta", V.beta(F.col("logic_depth"), F.when(F.col("m").isNull(), 0).otherwise(count), F.col("tags"), *params.beta_range))
-    rest = V.project("vector", spanned)["residual"] if params.use_residual else F.lit(None).cast("array<double>")
-    own = V.doubles("vector")
-    out = out.withColumn("boosted", F.when(F.col("m").isNull(), own).otherwise(V.fuse("vector", F.col("m"), rest, F.col("beta"))))
+    out = joined.withColumn("beta", V.beta(F.col("logic_depth"), F.when(F.col("m").isNull(), 0).otherwise(F.size("m")), F.col("tags"), *params.beta_range))
+    likeness = F.transform("m", lambda t: t["similarity"])
+    out = out.withColumn("boosted", V.boosting(params.use_residual)(V.doubles("vector"), F.transform("m", lambda t: t["vector"]), likeness, F.transform("e", lambda t: t["vector"]), F.col("beta")))
     return out.withColumn("matched", F.transform("m", lambda t: t["name"])).withColumn("drift", V.drift("boosted", "vector")).drop("m", "e", "tags")
 
 
-def _directed(edges: DataFrame) -> DataFrame:
-    own = edges.select("a", "b", "weight")
-    return own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-
-
 def retrieve(vectors: DataFrame, boosted: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
     """(query_id, id, score, similarity, is_secondary, rank): hits of the boosted query and, past the drift gate, of the original.
 
@@ -267,7 +259,7 @@ def enhanced_search(chunks: DataFrame, tags: DataFrame, edges: DataFrame, querie
     vectors = chunks.select("id", "vector") if vectors is None else vectors
     axes = main_axes(vectors, params) if axes is None else axes
     # The queries are a stated set; the steps below use their boosted form several times.
-    boosted = materialise(boost(sensing(axes, queries, params), tags, edges, params), "boosted")
+    boosted = materialise(boost(materialise(sensing(axes, queries, params), "sensed"), tags, edges, params), "boosted")
     hits = retrieve(vectors, boosted, params).join(chunks.drop("vector"), "id").dropDuplicates(["query_id", "id"])
     kept = semantic_dedup(hits.withColumn("words", words_of(F.coalesce("content", F.lit("")))), params.dedup_threshold, params.top_k)
     return kept.drop("words").join(boosted.select("query_id", "matched", "logic_depth", "mode"), "query_id")

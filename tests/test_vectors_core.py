@@ -99,3 +99,20 @@ def test_second_search_past_the_drift_gate(spark):
     moved = spark.createDataFrame([(0, [1.0, 0.0], [0.0, 1.0], 1.0)], "query_id bigint, vector array<double>, boosted array<double>, drift double")
     got = {(r.id, r.is_secondary) for r in search.retrieve(vectors, moved, search.SearchParams(top_k=1)).collect()}
     assert (2, False) in got and (1, False) not in got
+
+
+def test_boost_in_numpy_equals_the_column_functions(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(6):
+        tags = rng.normal(size=(i, 5))
+        tags[-1:] = tags[:1]
+        rows.append((i, rng.normal(size=5).tolist(), tags.tolist(), rng.uniform(size=i).tolist(), rng.normal(size=(2, 5)).tolist() if i % 2 else None, 0.35))
+    frame = spark.createDataFrame(rows, "i int, v array<double>, t array<array<double>>, s array<double>, e array<array<double>>, w double")
+    for residual in (True, False):
+        matched = F.zip_with("t", "s", lambda t, s: F.struct(t.alias("vector"), s.alias("similarity")))
+        spanned = F.concat("t", F.coalesce("e", F.array().cast("array<array<double>>")))
+        rest = V.project("v", spanned)["residual"] if residual else F.lit(None).cast("array<double>")
+        want = F.when(F.size("t") == 0, F.col("v")).otherwise(V.fuse("v", matched, rest, F.col("w")))
+        for r in frame.select(V.boosting(residual)("v", "t", "s", "e", "w").alias("got"), want.alias("want")).collect():
+            assert np.allclose(r.got, r.want)
