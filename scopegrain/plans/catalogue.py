@@ -222,7 +222,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boost_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "tags").select("id", "name", "vector").filter(V.usable("vector", 64))
     edges = _edges(spark, sf_dir).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-    asked = search.sensing(search.main_axes(usable_chunks(spark, sf_dir).select("id", "vector")), chunk_queries(spark, sf_dir))
+    asked = materialise(search.sensing(search.main_axes(usable_chunks(spark, sf_dir).select("id", "vector")), chunk_queries(spark, sf_dir)), "sensed")
     out = search.boost(asked, known, edges)
     return out.select("query_id", F.size("matched").alias("matched"), F.round("beta", 5).alias("beta"), F.round("drift", 5).alias("drift"))
 
@@ -500,6 +500,7 @@ def scoped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "files").select(F.col("id").alias("file_id"), "path", F.col("anchor_id").alias("group")).distinct().filter("anchor_id is not null")
     chunks = usable_chunks(spark, sf_dir).select("id", "file_id", "start_line", "vector").join(files, "file_id")
     asked = chunks.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("group").alias("root_id"), "vector").dropDuplicates(["query_id"])
+    asked = materialise(asked, "asked")
     roots = roots_of(spark, sf_dir)
     up = scopes.ancestors(roots)
     out = None

@@ -39,7 +39,7 @@ def test_init_search_read_and_sync(spark, tmp_path):
     assert not any(v for k, v in engine.sync().items() if k != "total_chunks")
     assert engine.check_model() == "none" and engine.config("chunk_size") == 512
     assert {r.folder for r in engine.folders().collect()} == {""}
-    assert engine.tree() == [{"path": str(root), "depth": 0, "vectors": engine.status()["vectors"], "tags": status["tags"]}]
+    assert engine.tree() == [{"path": str(root), "depth": 0, "vectors": status["vectors"], "tags": status["tags"]}]
     assert engine.store.read("file_tags").count() and engine.store.read("axes").count() <= 1
     few = engine.search("vector index search", top_k=1, min_similarity=0.01)[1].collect()
     assert len(few) == 1 and engine.search("vector index search", min_similarity=0.9999)[1].count() <= 1
@@ -100,7 +100,7 @@ def test_lost_vectors_are_made_again(spark, tmp_path):
     assert {r.id: r.vector for r in engine.store.read("vectors").collect()} == before
 
 
-def test_roots_below_and_above_are_searched_by_scope(spark, tmp_path):
+def test_roots_below_and_above_are_searched_by_scope(spark, tmp_path, monkeypatch):
     text = "vector index search of shared notes"
     for name in ("top/a.md", "top/mid/b.md", "top/mid/low/c.md", "top/mid/low2/d.md"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
@@ -109,14 +109,16 @@ def test_roots_below_and_above_are_searched_by_scope(spark, tmp_path):
     for name in ("top/mid", "top", "top/mid/low", "top/mid/low2"):
         made[name] = Engine(spark, str(tmp_path / name), str(tmp_path / "stores" / name.replace("/", "_")), registry=str(tmp_path / "registry"))
         made[name].register()
+    monkeypatch.setattr(Engine, "build_tags", lambda self: None)
     for engine in made.values():
         engine.init()
     mid = made["top/mid"]
-    found = {s: {r.path for r in mid.search(text, scope=s)[1].collect()} for s in ("local", "bubble", "cascade", "merge")}
-    assert found == {"local": {"b.md"}, "bubble": {"b.md", "../a.md"}, "cascade": {"b.md", "low/c.md", "low2/d.md"}, "merge": {"b.md", "../a.md", "low/c.md", "low2/d.md"}}
-    session, page = mid.search(text, scope="merge", top_k=3)
-    assert page.count() == 3 and mid.read(session, [1, 2, 3], level=4, direction="before").count() == 3
-    assert {r.path for r in made["top/mid/low"].search(text, scope="merge")[1].collect()} == {"c.md", "../b.md", "../../a.md"}
+    covered = {s: [p.removeprefix(str(tmp_path)) for p, _ in mid.members(s)] for s in ("local", "bubble", "cascade", "merge")}
+    assert covered == {"local": ["/top/mid"], "bubble": ["/top", "/top/mid"], "cascade": ["/top/mid", "/top/mid/low", "/top/mid/low2"], "merge": ["/top", "/top/mid", "/top/mid/low", "/top/mid/low2"]}
+    session, page = mid.search(text, enhanced=False, scope="merge", level=0)
+    assert {r.path for r in page.select("path").collect()} == {"b.md", "../a.md", "low/c.md", "low2/d.md"}
+    assert mid.read(session, [1, 2], level=4, direction="before").count() == 2
+    assert [p.removeprefix(str(tmp_path)) for p, _ in made["top/mid/low"].members("merge")] == ["/top", "/top/mid", "/top/mid/low"]
     assert [(t["path"].removeprefix(str(tmp_path)), t["depth"], t["vectors"]) for t in made["top"].tree()] == [("/top", 0, 1), ("/top/mid", 1, 1), ("/top/mid/low", 2, 1), ("/top/mid/low2", 2, 1)]
 
 
